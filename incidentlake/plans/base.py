@@ -157,7 +157,7 @@ select c_custkey as organization_id,
        cast(floor(abs(c_acctbal)) as int) as host_count,
        list_filter([case when c_custkey % 2 = 1 then 'docker' end, case when c_custkey % 3 = 1 then 'sql' end,
                     case when c_custkey % 5 = 1 then 'web' end, case when c_custkey % 7 = 1 then 'network' end],
-                   x -> x is not null) as technologies
+                   lambda x: x is not null) as technologies
 from customer"""),
     "requests": ((), f"""
 select *, {sql_season('month(day)')} as season
@@ -195,9 +195,9 @@ from {values(V.RECOMMENDATIONS, 't', 'method, code, title, description, priority
 select 'TH-' || p_partkey as threat_id, p_name as name, p_brand as description, lower(p_type) as category,
        case when p_partkey % 37 = 0 then 'extreme' else ['low','medium','high','critical'][cast(p_size % 4 as int) + 1] end as severity,
        list_filter([case when p_partkey % 2 = 0 then 'crm' end, case when p_partkey % 3 = 0 then 'workstation' end,
-                    case when p_partkey % 41 = 0 then 'toaster' end], x -> x is not null) as likely_targets,
+                    case when p_partkey % 41 = 0 then 'toaster' end], lambda x: x is not null) as likely_targets,
        list_filter([case when p_partkey % 5 = 0 then 'phishing' end, case when p_partkey % 7 > 2 then 'malware' end],
-                   x -> x is not null) as common_methods,
+                   lambda x: x is not null) as common_methods,
        'part list' as source
 from part"""),
     "part_rules": ((), """
