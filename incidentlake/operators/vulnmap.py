@@ -138,16 +138,11 @@ def match_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
         "gram", F.when(F.col("token") == "*", "").otherwise(F.substring("token", 1, GRAM))
     )
     lengths = sorted(r[0] for r in tokens.select(F.length("gram")).distinct().collect())
-    chars = F.split("_text", "")
 
     def grams(size: int) -> Column:
         if size == 0:
             return F.array(F.lit(""))
-        if size == 1:
-            return chars
-        return F.transform(
-            chars, lambda c, i: F.concat(c, *[F.coalesce(F.get(chars, i + j), F.lit("")) for j in range(1, size)])
-        )
+        return F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
     pieces = F.array_distinct(F.concat(*[grams(size) for size in lengths])) if lengths else F.array()
     heads = texts.select("_key", F.explode(pieces).alias("gram"))
