@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 from incidentlake.functions import timecols as T
-from incidentlake.session import shared_dir
+from incidentlake.session import materialized
 
 HALO = max(*V.LAGS, *V.ROLLING)
 BLOCK_HOURS = 28 * 24
@@ -186,8 +186,7 @@ def features(grid: DataFrame, compat: bool = False) -> DataFrame:
 
 def hours_table(base: DataFrame) -> DataFrame:
     """The aggregate, checkpointed: it is small (regions x hours) and read several times below."""
-    shared_dir(base.sparkSession)
-    return aggregate(base).checkpoint()
+    return materialized(aggregate(base))
 
 
 def build(base: DataFrame) -> DataFrame:

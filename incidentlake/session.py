@@ -51,3 +51,9 @@ def local_table(spark: SparkSession, rows, ddl: str) -> DataFrame:
     columns = list(zip(*rows)) or [()] * len(fields)
     table = pa.table([pa.array(c, type=f.type) for c, f in zip(columns, fields)], schema=fields)
     return spark.createDataFrame(table, ddl)
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Checkpoint of a frame that many passes read; it survives the loss of executors."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
