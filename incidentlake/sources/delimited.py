@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 
-_SPARK_ENCODING = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1251": "windows-1251", "latin1": "ISO-8859-1"}
+# Spark's reader has no cp1251: its bytes are read one to one and then translated
+_SPARK_ENCODING = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1251": "ISO-8859-1", "latin1": "ISO-8859-1"}
+_HIGH_BYTES = bytes(range(128, 256))
 
 
 def _probe(spark: SparkSession, path: str, rows: int) -> list[bytes]:
@@ -65,10 +67,16 @@ def _raw(spark: SparkSession, path: str, width: int, separator: str, encoding: s
     )
 
 
+def _decoded(cell: Column, encoding: str) -> Column:
+    if encoding != "cp1251":
+        return cell
+    return F.translate(cell, _HIGH_BYTES.decode("latin1"), _HIGH_BYTES.decode("cp1251", errors="replace"))
+
+
 def _below_header(spark, path, cells, separator, encoding, rows) -> DataFrame:
     # position inside a file: ids grow along a split, and only a file's first split holds its head
     raw = _raw(spark, path, len(cells), separator, encoding).select(
-        "*",
+        *[_decoded(F.col(f"_c{i}"), encoding).alias(f"_c{i}") for i in range(len(cells))],
         F.col("_metadata.file_path").alias("_file"),
         (F.col("_metadata.file_block_start") == 0).alias("_first"),
         F.monotonically_increasing_id().alias("_id"),
@@ -96,5 +104,6 @@ def read_headerless(spark: SparkSession, path: str, columns: list[str]) -> DataF
     for encoding, texts in _decodings(lines):
         for separator in V.FILE_SEPARATORS:
             if len(_cells(texts[0], separator)) == len(columns) > 1:
-                return _raw(spark, path, len(columns), separator, encoding).toDF(*columns)
+                raw = _raw(spark, path, len(columns), separator, encoding)
+                return raw.select(*[_decoded(F.col(f"_c{i}"), encoding).alias(c) for i, c in enumerate(columns)])
     raise ValueError(f"{path}: expected {len(columns)} columns")
