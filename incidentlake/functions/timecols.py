@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 
-DAY_FIRST = ("dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "dd.MM.yyyy")
-ISO = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+DAY_FIRST = r"\d{2}\.\d{2}\.\d{4}( \d{2}:\d{2}(:\d{2})?)?"
+ISO = r"\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?"
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -18,8 +18,14 @@ def parse_strict(text: Column, fmt: str) -> Column:
 
 
 def parse_lenient(text: Column) -> Column:
-    """Day-first forms, then ISO; an ISO date is never read day-first."""
-    return F.coalesce(*[parse_strict(text, fmt) for fmt in (*DAY_FIRST, *ISO)])
+    """Day-first forms, then ISO; an ISO date is never read day-first.
+
+    A day-first cell is turned into ISO order and everything goes through one cast, which needs
+    no exception for a bad cell.
+    """
+    cell = F.trim(text)
+    iso = F.regexp_replace(cell, r"^(\d{2})\.(\d{2})\.(\d{4})", "$3-$2-$1")
+    return F.when(cell.rlike(f"^({DAY_FIRST}|{ISO})$"), iso.try_cast("timestamp_ntz"))
 
 
 def season(month: Column) -> Column:

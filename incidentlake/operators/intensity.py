@@ -21,7 +21,8 @@ def profile(incidents: DataFrame) -> DataFrame:
     """Incident totals, number of hours present and counts per hour for every scope.
 
     Incidents are folded once to organization x region x season x industry x hour; the twelve
-    scopes are grouping sets over those counts. Hour maps hold at most 24 entries.
+    scopes are grouping sets over those counts. The 24 hours are plain sums, so both steps stay
+    hash aggregates.
     """
     counts = incidents.groupBy(
         "organization_code",
@@ -47,7 +48,7 @@ def profile(incidents: DataFrame) -> DataFrame:
     return hourly.groupBy(*_SCOPE, *flags).agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("hours_present"),
-        F.map_from_entries(F.collect_list(F.struct("hour", "n"))).alias("by_hour"),
+        F.array(*[F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("n"))), F.lit(0)) for h in range(24)]).alias("by_hour"),
     )
 
 
@@ -105,7 +106,7 @@ def attack_intensity(requests: DataFrame, incidents: DataFrame) -> DataFrame:
         & F.col("c_season").eqNullSafe(p.season)
         & F.col("c_industry").eqNullSafe(p.industry),
     ).where((F.col("c_all_industries") == 1) | (F.col("total") >= V.MIN_INDUSTRY_ROWS))
-    current = F.coalesce(F.try_element_at("by_hour", F.col("s_hour")), F.lit(0))
+    current = F.coalesce(F.get("by_hour", F.col("s_hour")), F.lit(0))
     baseline = F.greatest(F.col("total") / F.col("hours_present"), F.lit(1.0))
     best = found.groupBy(*scope).agg(
         F.min_by(current / baseline, "rank").alias("ratio")

@@ -162,13 +162,18 @@ def match_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def exploded(matched: DataFrame) -> DataFrame:
+    """One row per match. Outer explode: the plain one would let Spark infer a filter on the
+    size of ``matches`` and push the whole token search a second time below the projection."""
+    rows = matched.select("*", F.posexplode_outer("matches").alias("pos", "m")).where("pos is not null")
+    return rows.select(*[c for c in matched.columns if c != "matches"], "pos", "m.*")
+
+
 def with_threats(matched: DataFrame, catalog: DataFrame, recommendations: DataFrame) -> DataFrame:
     """One row per match with its place, catalog entry and ordered recommendations."""
     from incidentlake.operators.scoring import with_recommendations
 
-    rows = matched.select("*", F.posexplode("matches").alias("pos", "m")).select(
-        *[c for c in matched.columns if c != "matches"], "pos", "m.*"
-    )
+    rows = exploded(matched)
     threats = catalog.select("threat_id", F.struct(*catalog.columns).alias("threat"))
     return with_recommendations(rows.join(threats, "threat_id"), recommendations, "recommendation_method")
 

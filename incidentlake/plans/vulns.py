@@ -30,8 +30,8 @@ _rows = "select vulnerability_code, pos, threat_id, match_score, recommendation_
 
 
 def _exploded(df):
-    return df.select("vulnerability_code", F.posexplode("matches").alias("pos", "m")).select(
-        "vulnerability_code", "pos", "m.threat_id", "m.match_score", "m.recommendation_method"
+    return vulnmap.exploded(df).select(
+        "vulnerability_code", "pos", "threat_id", "match_score", "recommendation_method"
     )
 
 
@@ -98,9 +98,7 @@ def _(d):
         F.lit("malware").alias("recommendation_method"),
     )
     matched = vulnmap.map_vulnerabilities(d.document_vulnerabilities, rules)
-    return matched.select("vulnerability_code", F.inline("matches")).select(
-        "vulnerability_code", "threat_id", "reason", "match_score"
-    )
+    return vulnmap.exploded(matched).select("vulnerability_code", "threat_id", "reason", "match_score")
 
 
 @query("validate_vulnerabilities", oracle("vulnerabilities", """

@@ -20,6 +20,8 @@ def local_session(cpus: int | str = 8, app: str = "incidentlake", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        # small test tables would otherwise be merged into one or two tasks
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
