@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from incidentlake.ml import clustering as C
-from incidentlake.ml import forest, region_risk
+from incidentlake.ml import density, forest, region_risk
 from incidentlake.operators import regionhour as R
 from incidentlake.operators import scoring, stats
 from incidentlake.plans.base import VIEW_SQL, Domain, oracle, query
 from incidentlake.plans.ingest import scratch
 from incidentlake.plans.regionhour import forecast_targets, grid, model_rows, rounded
 from incidentlake.plans.requests import AS_OF
-from incidentlake.session import local_table
+from incidentlake.session import local_table, materialized
 from incidentlake.sources import tables
 
 SMALL_BOOSTING = {"iterations": 8, "depth": 4, "learning_rate": 0.2}
@@ -147,6 +148,14 @@ def _(d):
     return local_table(d.spark, C.hierarchical_sweep(points, range(2, 5)), "k int, silhouette double")
 
 
+@query("density_cluster")
+def _(d):
+    points, _ = C.pca(C.vectors(C.matrix(d.incidents, d.registry)), 2)
+    xy = vector_to_array("components")
+    flat = points.select("incident_id", F.round(xy[0], 6).alias("x"), F.round(xy[1], 6).alias("y"))
+    return density.density_cluster(materialized(flat), ["x", "y"], 0.3, 5, "incident_id")
+
+
 @query("method_training_set", oracle("enriched", """
 select incident_id, organization_code, region, industry, season, day_of_week, hour,
        case when target_object in ('vpn_gateway', 'web_portal', 'mail_gateway') then 'True' else 'False' end as has_external_access,
