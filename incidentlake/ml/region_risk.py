@@ -98,12 +98,14 @@ def prepare(features_df: DataFrame, order: str = "time", max_rows_per_region: in
     return materialized(R.cv_folds(materialized(df), order=order))
 
 
-def train(prepared: DataFrame, params: dict | None = None, include_current: bool = False) -> RiskModel:
+def train(
+    prepared: DataFrame, params: dict | None = None, include_current: bool = False, folds=range(1, V.FOLDS + 1)
+) -> RiskModel:
     """Three expanding folds; the model and threshold of the fold with the best F1 are kept."""
     features, categorical = feature_columns(prepared, include_current)
     bins = _bins(prepared, categorical)
     best, cv = None, []
-    for fold in range(1, V.FOLDS + 1):
+    for fold in folds:
         model, row = _fit(prepared, fold, features, categorical, params or V.BOOSTING, V.SEED + fold, bins)
         cv.append(row)
         if best is None or row["f1"] > best[1]["f1"]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from incidentlake import fixed_values as V
 from incidentlake.ml import clustering as C
 from incidentlake.ml import density, forest, region_risk
 from incidentlake.operators import regionhour as R
@@ -19,6 +20,7 @@ from incidentlake.sources import tables
 SMALL_BOOSTING = {"iterations": 8, "depth": 4, "learning_rate": 0.2}
 SMALL_GRID = (SMALL_BOOSTING, {"iterations": 4, "depth": 3, "learning_rate": 0.3})
 SMALL_FOREST = 10
+LAST_FOLD = (V.FOLDS,)
 
 VIEW_SQL["active"] = (("incidents", "registry"), """
 select i.*, r.object_of_impact, r.source_characteristics, r.confidentiality_breach, r.integrity_breach, r.availability_breach, r.status
@@ -207,7 +209,7 @@ def _(d):
 @query("model_roundtrip")
 def _(d):
     prepared = _prepared(d)
-    model = region_risk.train(prepared, SMALL_GRID[1])
+    model = region_risk.train(prepared, SMALL_GRID[1], folds=LAST_FOLD)
     path = scratch(d, "region-risk")
     region_risk.save(model, d.spark, path)
     again = region_risk.load(d.spark, path)
@@ -217,14 +219,14 @@ def _(d):
 @query("score_region_hours")
 def _(d):
     table = grid(d)
-    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1])
+    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1], folds=LAST_FOLD)
     return region_risk.score_region_hours(model, table, forecast_targets(d))
 
 
 @query("predict_ml_temporal")
 def _(d):
     table = grid(d)
-    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1])
+    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1], folds=LAST_FOLD)
     fallback = scoring.method_target_fallback(
         d.requests,
         stats.grain(d.incidents, d.registry, by=("organization_code",)),
