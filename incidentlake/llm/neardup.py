@@ -6,10 +6,12 @@ flips one bit of a bitmap of ``SKETCH_BITS`` (the odd sketch): the population co
 bitmaps tells how many samples differ. Work:
 
 1. Documents with equal sets form a class; only its first row goes on.
-2. Every class is linked to the smallest class of each of its band buckets, if the odd sketches allow a
-   similarity near the limit and the full sets confirm it. Components of these links are formed.
-3. Buckets that still hold several components compare just the classes of different components with
-   each other, again sketches first and then full sets. So every pair of a bucket is either compared or
+2. Every class is linked to the smallest class of each of its band buckets, and to the most similar of
+   the classes that its buckets draw by hash, if the odd sketches allow a similarity near the limit and
+   the full sets confirm it. Components of these links are formed.
+3. In buckets that still hold several components, classes of different components are compared in pairs,
+   inside the join: sizes, sketches and an exact bound from the parities of the full sets let through
+   little but true links, which the full sets confirm. So every pair of a bucket is either compared or
    known to be connected, and no bucket has a cap.
 
 At similarity 0.8 a pair shares no bucket with a chance below 1e-7, and the sketch cut is 5.5 standard
@@ -28,7 +30,7 @@ from incidentlake.llm.graph import components
 from incidentlake.llm.tables import written
 from incidentlake.llm.words import Words, annotate, mix, windows
 
-BANDS, ROWS, SKETCH_BITS = 32, 4, 256
+BANDS, ROWS, SKETCH_BITS, SET_BITS = 32, 4, 256, 1024
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
 
@@ -84,10 +86,27 @@ def sketch_cut(percent: int) -> int:
     return int(np.ceil(mean + 5.5 * noise))
 
 
-def _close(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
-    """Sizes and odd sketches allow a similarity of ``percent``."""
-    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-    return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (differ <= sketch_cut(percent))
+def _differing(x: Column, y: Column) -> Column:
+    """Differing bits of the odd sketches."""
+    return sum((F.bit_count(x["sketch"][i].bitwiseXOR(y["sketch"][i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
+def _close(x: Column, y: Column, percent: int) -> Column:
+    """Whether sizes, odd sketches and set parities (x, y: structs of n, sketch, bits) allow the similarity.
+
+    ``bits`` is the odd sketch of the whole set. A bit that differs stands for at least one shingle that
+    only one set has, so this bound never refuses a pair at the limit.
+    """
+    apart = sum((F.bit_count(x["bits"][i].bitwiseXOR(y["bits"][i])) for i in range(SET_BITS // 64)), F.lit(0))
+    size = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    return size & (_differing(x, y) <= sketch_cut(percent)) & ((100 - percent) * (x["n"] + y["n"]) >= (100 + percent) * apart)
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their root, of the buckets that hold several components."""
+    rooted = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
+    return rooted.join(mixed, "bucket", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -112,37 +131,36 @@ def near_duplicates(docs: DataFrame, keep: list[str], k: int = 5, percent: int =
     classes = written(signed.filter("n > 0").groupBy("s1", "s2", "n").agg(smallest.alias("x")).select("s1", "s2", "n", F.col("x.rid").alias("cls"), F.col("x.id").alias("cls_id")), "classes")
     heads = signed.join(classes.select(F.col("cls").alias("rid")), "rid", "left_semi")
 
-    # 2. links to the smallest class of each bucket
+    # 2. links to two centers of each bucket: the smallest class and one drawn by hash
     banded = written(heads.select("rid", F.explode("bands").alias("bucket")), "bands")
-    shared = banded.groupBy("bucket").agg(F.min("rid").alias("center"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    members = written(banded.join(shared, "bucket"), "members")
+    drawn = F.min(F.struct(F.xxhash64("rid", "bucket").alias("h"), "rid"))
+    shared = banded.groupBy("bucket").agg(F.min("rid").alias("center"), drawn.alias("other"), F.count("*").alias("c")).filter("c > 1")
+    members = written(banded.join(shared.select("bucket", "center", F.col("other.rid").alias("other")), "bucket"), "members")
     wanted = written(members.select("rid").distinct(), "wanted")
-    near = written(signed.select("rid", "n", "sketch").join(wanted, "rid", "left_semi"), "near")
     texts = signed.select("rid", "text").join(wanted, "rid", "left_semi")
-    sets = annotate(texts, "text", lambda t: _sets(t, k, lower), "set array<bigint>", ["rid"])
-    sets = written(sets.select("row.rid", "set"), "sets")
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        a = near.select(F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a"))
-        b = near.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b"))
-        return pairs.join(a, "a").join(b, "b").filter(_close(F.col("sk_a"), F.col("sk_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-
-    tried = members.filter("rid <> center").select(F.col("center").alias("a"), F.col("rid").alias("b")).distinct()
-    links = written(_confirmed(allowed(tried), sets, percent), "links")
+    sets = annotate(texts, "text", lambda t: _sets(t, k, lower), "set array<bigint>, bits array<bigint>", ["rid"])
+    sets = written(sets.select("row.rid", "set", "bits"), "sets")
+    near = written(signed.select("rid", "n", "sketch").join(sets.select("rid", "bits"), "rid").select("rid", F.struct("n", "sketch", "bits").alias("v")), "near")
+
+    pairs = members.filter("rid <> center").select(F.col("center").alias("a"), F.col("rid").alias("b"), F.lit(True).alias("first"))
+    pairs = pairs.unionByName(members.filter("rid <> other and other <> center").select(F.col("other").alias("a"), F.col("rid").alias("b"), F.lit(False).alias("first"))).distinct()
+    both = pairs.join(near.select(F.col("rid").alias("a"), F.col("v").alias("x")), "a").join(near.select(F.col("rid").alias("b"), F.col("v").alias("y")), "b")
+    tried = written(both.filter(_close(F.col("x"), F.col("y"), percent)).select("a", "b", "first", _differing(F.col("x"), F.col("y")).alias("d")), "tried")
+    best = tried.filter("not first").groupBy("b").agg(F.min(F.struct("d", "a")).alias("c")).select("c.a", "b")
+    links = written(_confirmed(tried.filter("first").select("a", "b").unionByName(best).distinct(), sets, percent), "links")
     roots = components(links)
 
-    # 3. what is left between components of a bucket
-    rooted = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "center", F.coalesce("root", "rid").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).filter("lo <> hi and c > 2").select("bucket")
-    open_ = written(rooted.join(mixed, "bucket", "left_semi").filter("rid <> center").join(near, "rid").drop("center"), "open")
-    a, b = open_.alias("a"), open_.alias("b")
+    # 3. all pairs of different components of a bucket that the bounds allow
+    left = written(_open(members, roots).filter("rid <> center").select("bucket", "rid", "root").join(near, "rid"), "open")
+    a, b = left.alias("p"), left.alias("q")
     meet = (
-        (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.root") != F.col("b.root"))
-        & _close(F.col("a.sketch"), F.col("b.sketch"), F.col("a.n"), F.col("b.n"), percent)
+        (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.rid") < F.col("q.rid")) & (F.col("p.root") != F.col("q.root"))
+        & _close(F.col("p.v"), F.col("q.v"), percent)
     )
-    rest = a.join(b, meet).select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+    rest = a.join(b, meet).select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b")).distinct()
     more = written(_confirmed(rest, sets, percent), "links")
-    roots = components(links.unionByName(more)) if not more.isEmpty() else roots
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     # ids of the components, for every row
     joined = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -158,5 +176,12 @@ def near_duplicates(docs: DataFrame, keep: list[str], k: int = 5, percent: int =
 
 
 def _sets(texts: pa.Array, k: int, lower: bool) -> list[pa.Array]:
+    """The shingles of each row, and the odd sketch of all of them."""
     found, doc, rows = shingles(texts, k, lower)
-    return [pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(rows + 1)).astype(np.int32)), pa.array(found.view(np.int64)))]
+    width = SET_BITS // 64
+    bits = np.zeros(rows * width, np.uint64)
+    place = (found >> np.uint64(32)).astype(np.int64) % SET_BITS
+    np.bitwise_xor.at(bits, doc * width + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    cut = np.searchsorted(doc, np.arange(rows + 1)).astype(np.int32)
+    wide = np.arange(rows + 1, dtype=np.int32) * width
+    return [pa.ListArray.from_arrays(pa.array(cut), pa.array(found.view(np.int64))), pa.ListArray.from_arrays(pa.array(wide), pa.array(bits.view(np.int64)))]
