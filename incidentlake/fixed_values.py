@@ -333,3 +333,15 @@ FOREST_TREES = 200
 FOREST_MIN_ROWS = 10
 HOSTS_PER_PRIVILEGED_ACCOUNT = 20
 DANGER_BANDS = ((0.6, "high"), (0.4, "medium"))
+
+# Sentences of the model rationales.
+FOREST_NOTES = (
+    "ML model trained on %d historical incidents from the local dataset.",
+    "Primary prediction features: region %s, industry %s, season %s, hour %d.",
+    "Model confidence for method/target classes: %s/%s.",
+)
+TEMPORAL_NOTES = (
+    "Temporal risk score (probability): %s.",
+    "Attack method / target object are taken from historical distribution for your org or region; "
+    "fallback: heuristic from asset type (%s).",
+)

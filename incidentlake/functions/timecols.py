@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 
-DAY_FIRST = r"\d{2}\.\d{2}\.\d{4}( \d{2}:\d{2}(:\d{2})?)?"
-ISO = r"\d{4}-\d{2}-\d{2}( \d{2}:\d{2}:\d{2})?"
+CLOCK = r"([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?"
+DAY_FIRST = r"\d{1,2}([./-])\d{1,2}\1(\d{4}|\d{2})" + CLOCK
+ISO = r"\d{4}-\d{1,2}-\d{1,2}" + CLOCK
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
@@ -20,12 +21,16 @@ def parse_strict(text: Column, fmt: str) -> Column:
 def parse_lenient(text: Column) -> Column:
     """Day-first forms, then ISO; an ISO date is never read day-first.
 
-    A day-first cell is turned into ISO order and everything goes through one cast, which needs
-    no exception for a bad cell.
+    Days, months and hours may have one digit, seconds and their fractions may lack, the parts of a
+    day-first date stand between equal marks (``.``, ``/`` or ``-``), and of two-digit years 69 to 99
+    belong to the last century. A day-first cell is turned into ISO order and everything goes
+    through one cast, which needs no exception for a bad cell.
     """
     cell = F.trim(text)
-    iso = F.regexp_replace(cell, r"^(\d{2})\.(\d{2})\.(\d{4})", "$3-$2-$1")
-    return F.when(cell.rlike(f"^({DAY_FIRST}|{ISO})$"), iso.try_cast("timestamp_ntz"))
+    iso = F.regexp_replace(cell, r"^(\d{1,2})([./-])(\d{1,2})\2(\d{4})(?=$|[ T])", "$4-$3-$1")
+    iso = F.regexp_replace(iso, r"^(\d{1,2})([./-])(\d{1,2})\2([0-5]\d|6[0-8])(?=$|[ T])", "20$4-$3-$1")
+    iso = F.regexp_replace(iso, r"^(\d{1,2})([./-])(\d{1,2})\2(69|[7-9]\d)(?=$|[ T])", "19$4-$3-$1")
+    return F.when(cell.rlike(f"^(?:{DAY_FIRST}|{ISO})$"), iso.try_cast("timestamp_ntz"))
 
 
 def season(month: Column) -> Column:

@@ -42,7 +42,8 @@ def enterprise_first(df: DataFrame, columns=("host_count", "region", "industry")
             for c in columns
         ]
     )
-    return df.join(firsts, "organization_code").drop(*columns).withColumnsRenamed({f"_{c}": c for c in columns})
+    same = df["organization_code"].eqNullSafe(firsts["organization_code"])  # rows without an organization are a group too
+    return df.join(firsts, same).drop(firsts["organization_code"]).drop(*columns).withColumnsRenamed({f"_{c}": c for c in columns})
 
 
 def matrix(incidents: DataFrame, registry: DataFrame) -> DataFrame:
@@ -99,7 +100,7 @@ def vectors(rows: DataFrame) -> DataFrame:
     """(incident_id, features): scaled tabular columns with the multi-hot and one-hot parts."""
     df = standardized(materialized(rows), MATRIX)
     for name in ("impact_objects", "threat_sources"):
-        df = CountVectorizer(inputCol=name, outputCol=f"{name}_hot", binary=True).fit(df).transform(df)
+        df = CountVectorizer(inputCol=name, outputCol=f"{name}_hot", binary=True, vocabSize=(1 << 31) - 1).fit(df).transform(df)
     df = StringIndexer(inputCol="industry", outputCol="industry_index").fit(df).transform(df)
     df = OneHotEncoder(inputCol="industry_index", outputCol="industry_hot", dropLast=False).fit(df).transform(df)
     parts = [*MATRIX, "impact_objects_hot", "threat_sources_hot", "industry_hot"]

@@ -166,9 +166,8 @@ def predict_requests(model: RiskModel, requests: DataFrame, grid: DataFrame, fal
     notes = F.array(
         F.format_string("Region-hour model: probability of a successful incident in the hour (region=%s, hour=%d).",
                         "resolved_region", "hour"),
-        F.format_string("Temporal risk score (probability): %.2f.", "ml_confidence"),
-        F.format_string("Method and target come from the history of the organization or region; fallback by asset type (%s).",
-                        "asset_type"),
+        F.format_string(V.TEMPORAL_NOTES[0], "ml_confidence"),
+        F.format_string(V.TEMPORAL_NOTES[1], "asset_type"),
     )
     return (
         resolved.join(scored, ["resolved_region", "hour"])

@@ -13,6 +13,7 @@ from incidentlake import fixed_values as V
 
 MAX_INLINE_TOKENS = 400
 GRAM = 3
+MATCH = "threat_id: string, match_score: double, reason: string, recommendation_method: string"
 
 
 def vulnerability_text() -> Column:
@@ -47,7 +48,7 @@ def _hit(text: Column, rule) -> Column:
 
 def _match(rule) -> Column:
     return F.struct(
-        F.lit(rule.rule_ord).alias("rule_ord"),
+        F.lit(rule.rule_ord).cast("int").alias("rule_ord"),
         F.lit(rule.threat_id).alias("threat_id"),
         F.lit(float(rule.match_score)).alias("match_score"),
         F.lit(rule.reason).alias("reason"),
@@ -87,8 +88,7 @@ def map_inline(
 def map_with(vulnerabilities: DataFrame, strategies: list, fallback=None) -> DataFrame:
     """``matches`` from explicit strategy rules and one optional fallback rule."""
     text = F.col("_text")
-    any_rule = strategies[0] if strategies else fallback
-    none = F.filter(F.array(_match(any_rule)), lambda _: F.lit(False))
+    none = F.array().cast(f"array<struct<rule_ord: int, {MATCH}>>")
     hits = F.array_compact(F.array(*[F.when(_hit(text, r), _match(r)) for r in strategies])) if strategies else none
     df = vulnerabilities.withColumn("_text", vulnerability_text()).withColumn("_hits", hits)
     if fallback is not None:
@@ -100,7 +100,13 @@ def map_with(vulnerabilities: DataFrame, strategies: list, fallback=None) -> Dat
 def map_vulnerabilities(
     vulnerabilities: DataFrame, rules: DataFrame, fallback_threat: str = V.FALLBACK_THREAT, wildcard_fallback=False
 ) -> DataFrame:
-    """``matches`` per vulnerability, by the inline form when the rules fit, else by the prefix join."""
+    """``matches`` per vulnerability, by the inline form when the rules fit, else by the prefix join.
+
+    Both give the same rows: rules without a threat and null tokens are left out, no rule at all gives
+    empty lists, and rules that share a number stay separate.
+    """
+    rules = rules.where("threat_id is not null").withColumn("tokens", F.array_compact(F.coalesce("tokens", F.array().cast("array<string>"))))
+    rules = rules.withColumn("rule_ord", F.col("rule_ord").cast("int")).where("rule_ord is not null")
     if fits_inline(rules):
         return map_inline(vulnerabilities, rules.collect(), fallback_threat, wildcard_fallback)
     strategies = rules.where(F.col("threat_id") != fallback_threat)
@@ -134,7 +140,9 @@ def match_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
     travel only by key until the check, and equal texts are mapped once. A ``*`` token has the
     empty prefix, which every text carries.
     """
-    tokens = rules.select("rule_ord", F.explode(F.transform("tokens", F.lower)).alias("token")).withColumn(
+    details = F.xxhash64("threat_id", "tokens", "match_score", "reason", "recommendation_method")
+    rules = rules.withColumn("rule", F.struct("rule_ord", details.alias("details")))
+    tokens = rules.select("rule", F.explode(F.transform("tokens", F.lower)).alias("token")).withColumn(
         "gram", F.when(F.col("token") == "*", "").otherwise(F.substring("token", 1, GRAM))
     )
     lengths = sorted(r[0] for r in tokens.select(F.length("gram")).distinct().collect())
@@ -146,19 +154,19 @@ def match_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
 
     pieces = F.array_distinct(F.concat(*[grams(size) for size in lengths])) if lengths else F.array()
     heads = texts.select("_key", F.explode(pieces).alias("gram"))
-    candidates = heads.join(tokens, "gram").select("_key", "rule_ord", "token")
+    candidates = heads.join(tokens, "gram").select("_key", "rule", "token")
     hits = (
         candidates.join(texts, "_key")
         .where((F.col("token") == "*") | F.contains("_text", F.col("token")))
-        .select("_key", "rule_ord")
+        .select("_key", "rule")
         .distinct()
-        .join(rules.drop("tokens"), "rule_ord")
+        .join(rules.drop("tokens").distinct(), "rule")
     )
-    rule = F.struct("threat_id", "match_score", "reason", "recommendation_method")
+    found = F.struct("threat_id", "match_score", "reason", "recommendation_method")
     return (
         hits.groupBy("_key", "threat_id")
-        .agg(F.max_by(rule, "rule_ord").alias("rule"), F.min("rule_ord").alias("first_ord"))
-        .select("_key", "rule.*", "first_ord")
+        .agg(F.max_by(found, "rule").alias("found"), F.min("rule_ord").alias("first_ord"))
+        .select("_key", "found.*", "first_ord")
     )
 
 

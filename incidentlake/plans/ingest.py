@@ -230,10 +230,11 @@ def _(d):
     return base_rows(d).select(*_base_columns)
 
 
-def _write_log(d: Domain, parts: int = 4) -> str:
+def _write_log(d: Domain, rows_per_file: int = 250_000) -> str:
     """The raw log as separated text files, each with a title line and its own header line."""
     path = scratch(d, "incident-log")
     raw = raw_incidents(d)
+    parts = max(4, raw.count() // rows_per_file)
     columns = ["incident_id", *_H]
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
     body = raw.select((F.col("incident_id") % parts).cast("int").alias("part"), F.lit(2).alias("line"), F.concat_ws(";", *cells).alias("value"))

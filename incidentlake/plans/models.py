@@ -1,4 +1,8 @@
-"""Model, matrix and clustering queries. Fits are small here; defaults in ``incidentlake.ml`` are full size."""
+"""Model, matrix and clustering queries.
+
+All folds and numbers of clusters are run; boosting rounds, the grid and the trees are smaller than the
+library defaults (``incidentlake.ml``), since the full fits take longer than all other queries together.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +24,6 @@ from incidentlake.sources import tables
 SMALL_BOOSTING = {"iterations": 8, "depth": 4, "learning_rate": 0.2}
 SMALL_GRID = (SMALL_BOOSTING, {"iterations": 4, "depth": 3, "learning_rate": 0.3})
 SMALL_FOREST = 10
-LAST_FOLD = (V.FOLDS,)
 
 VIEW_SQL["active"] = (("incidents", "registry"), """
 select i.*, r.object_of_impact, r.source_characteristics, r.confidentiality_breach, r.integrity_breach, r.availability_breach, r.status
@@ -28,7 +31,7 @@ from incidents i left join registry r on i.threat_code = r.threat_code where r.s
 VIEW_SQL["repaired"] = (("active",), """
 select a.* replace (f.host_count as host_count, f.region as region, f.industry as industry)
 from active a join (select organization_code, arg_min(host_count, incident_id) as host_count, arg_min(region, incident_id) as region,
-                           arg_min(industry, incident_id) as industry from active group by 1) f on a.organization_code = f.organization_code""")
+                           arg_min(industry, incident_id) as industry from active group by 1) f on a.organization_code is not distinct from f.organization_code""")
 VIEW_SQL["matrix"] = (("repaired",), """
 select *, count(*) over (partition by region) / (count(*) over ())::double as region_share
 from (select incident_id, host_count, threat_code, success, region, industry, cast(year(incident_date) as int) as year,
@@ -129,12 +132,12 @@ def _(d):
 
 @query("cluster_profile")
 def _(d):
-    return C.cluster_profile(C.kmeans(C.assembled(_numeric(d)), 4))
+    return C.cluster_profile(C.kmeans(C.assembled(_numeric(d)), 8))
 
 
 @query("kmeans_sweep")
 def _(d):
-    return local_table(d.spark, C.kmeans_sweep(C.assembled(_numeric(d)), range(2, 6)), "k int, silhouette double, inertia double")
+    return local_table(d.spark, C.kmeans_sweep(C.assembled(_numeric(d))), "k int, silhouette double, inertia double")
 
 
 @query("pca")
@@ -147,7 +150,7 @@ def _(d):
 @query("hierarchical_cluster")
 def _(d):
     points = C.vectors(C.matrix(d.incidents, d.registry))
-    return local_table(d.spark, C.hierarchical_sweep(points, range(2, 5)), "k int, silhouette double")
+    return local_table(d.spark, C.hierarchical_sweep(points), "k int, silhouette double")
 
 
 @query("density_cluster")
@@ -209,7 +212,7 @@ def _(d):
 @query("model_roundtrip")
 def _(d):
     prepared = _prepared(d)
-    model = region_risk.train(prepared, SMALL_GRID[1], folds=LAST_FOLD)
+    model = region_risk.train(prepared, SMALL_GRID[1])
     path = scratch(d, "region-risk")
     region_risk.save(model, d.spark, path)
     again = region_risk.load(d.spark, path)
@@ -219,14 +222,14 @@ def _(d):
 @query("score_region_hours")
 def _(d):
     table = grid(d)
-    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1], folds=LAST_FOLD)
+    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1])
     return region_risk.score_region_hours(model, table, forecast_targets(d))
 
 
 @query("predict_ml_temporal")
 def _(d):
     table = grid(d)
-    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1], folds=LAST_FOLD)
+    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1])
     fallback = scoring.method_target_fallback(
         d.requests,
         stats.grain(d.incidents, d.registry, by=("organization_code",)),

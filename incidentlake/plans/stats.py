@@ -255,7 +255,8 @@ def _(d):
 select incident_id, threat_code, count(*) over (partition by threat_code) as threat_incidents from incidents"""))
 def _(d):
     counts = S.key_frequency(d.incidents, "threat_code").select("threat_code", F.col("n").alias("threat_incidents"))
-    return d.incidents.select("incident_id", "threat_code").join(counts, "threat_code")
+    rows = d.incidents.select("incident_id", "threat_code")
+    return rows.join(counts, rows["threat_code"].eqNullSafe(counts["threat_code"])).drop(counts["threat_code"])
 
 
 @query("region_frequency", oracle("incidents", """

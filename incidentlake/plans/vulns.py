@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
@@ -90,7 +91,7 @@ def _(d):
         .distinct()
     )
     rules = words.select(
-        F.col("word").alias("rule_ord"),
+        F.row_number().over(Window.orderBy("word")).alias("rule_ord"),
         F.array("word").alias("tokens"),
         F.concat(F.lit("W-"), F.substring("word", 1, 2)).alias("threat_id"),
         (F.length("word") / 20.0).alias("match_score"),

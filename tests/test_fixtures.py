@@ -177,6 +177,45 @@ def test_last_rule_wins(spark, monkeypatch, limit):
     assert got == {"a": [("TH-005", 0.9), ("TH-001", 0.9)], "b": [("TH-002", 0.4)]}
 
 
+@pytest.mark.parametrize("limit", [400, 0])
+def test_odd_rules(spark, monkeypatch, limit):
+    """Shared numbers, null tokens and threats, and no rule at all give the same in both forms."""
+    monkeypatch.setattr(vulnmap, "MAX_INLINE_TOKENS", limit)
+    rules = spark.createDataFrame(
+        [(0, ["malware", None], "TH-001", 0.7, "a", "malware"), (0, ["absent"], "TH-003", 0.9, "b", "malware"), (1, ["code"], None, 0.9, "c", "malware")],
+        schema.RULES,
+    )
+    vulns = spark.createDataFrame([("a", "n", "workstation", "CVE-1", "malware", "low", "code")], schema.VULNERABILITIES)
+    assert mapped(vulnmap.map_vulnerabilities(vulns, rules)) == {"a": [("TH-001", 0.7)]}
+    assert [len(r.matches) for r in vulnmap.map_vulnerabilities(vulns, rules.limit(0)).collect()] == [0]
+
+
+def test_rules_of_two_files(spark, tmp_path):
+    for name, threat in (("b", "TH-002"), ("a", "TH-001")):
+        rule = {"tokens": [name], "threat_id": threat, "match_score": 0.5, "reason": name, "recommendation_method": "malware"}
+        (tmp_path / f"{name}.json").write_text(json.dumps([rule, rule | {"reason": name * 2}]))
+    rows = tables.rules_table(spark, str(tmp_path)).orderBy("rule_ord").collect()
+    assert [(r.rule_ord, r.reason) for r in rows] == [(0, "a"), (1, "aa"), (2, "b"), (3, "bb")]
+
+
+def test_more_date_forms(spark):
+    cells = {
+        "2026-01-10 09:00:00.5": datetime(2026, 1, 10, 9, 0, 0, 500000), "2026-01-10 09:00": datetime(2026, 1, 10, 9),
+        "2026-01-10T09:00:00": datetime(2026, 1, 10, 9), "1.2.2026 9:00": datetime(2026, 2, 1, 9), "01/02/2026": datetime(2026, 2, 1),
+        "10.01.26": datetime(2026, 1, 10), "10-01-99 1:02:03": datetime(1999, 1, 10, 1, 2, 3), "10.01/2026": None, "31.02.2026": None, "1.2.202": None,
+    }
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert {r.c: r.t for r in df.select("c", T.parse_lenient(F.col("c")).alias("t")).collect()} == cells
+
+
+def test_rows_without_organization_stay(spark):
+    from incidentlake.ml import clustering
+
+    df = spark.createDataFrame([(1, None, 5, "r", "i"), (2, "o", None, "q", None), (3, "o", 7, None, "j")], "incident_id int, organization_code string, host_count int, region string, industry string")
+    got = {r.incident_id: (r.host_count, r.region, r.industry) for r in clustering.enterprise_first(df).collect()}
+    assert got == {1: (5, "r", "i"), 2: (7, "q", "j"), 3: (7, "q", "j")}
+
+
 def test_fallback_only(spark):
     rule = SimpleNamespace(rule_ord=0, tokens=["*"], threat_id="TH-002", match_score=0.4, reason="f", recommendation_method="phishing")
     vulns = spark.createDataFrame(VULNS[2:3], schema.VULNERABILITIES)
