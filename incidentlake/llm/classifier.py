@@ -21,8 +21,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -151,11 +151,11 @@ def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
 class _Sample:
     """Features of sampled rows on the driver; ``pick`` gives those of some rows."""
 
-    def __init__(self, rows: pd.DataFrame):
-        counts = rows["keys"].map(len).to_numpy(np.int64)
-        self.start = np.concatenate([[0], np.cumsum(counts)])
-        self.keys = np.concatenate([np.asarray(k, np.int64) for k in rows["keys"]]).view(np.uint64) if len(rows) else np.zeros(0, np.uint64)
-        self.meta = np.vstack(rows["meta"].to_numpy()) if len(rows) else np.zeros((0, 1))
+    def __init__(self, rows: pa.Table):
+        keys, meta = (rows[c].combine_chunks() for c in ("keys", "meta"))
+        self.start = np.concatenate([[0], np.cumsum(pc.list_value_length(keys).to_numpy())]).astype(np.int64)
+        self.keys = keys.flatten().to_numpy().view(np.uint64)
+        self.meta = meta.flatten().to_numpy().reshape(len(rows), -1)
 
     def pick(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.diff(self.start)[rows]
@@ -213,7 +213,7 @@ def _features(texts: pa.Array, source: pa.Array, lang: pa.Array) -> tuple[Words,
     return Words(texts, ALNUM_WORDS, True), meta_features(Words(texts), _slots(source, SOURCE_SLOTS), _slots(lang, LANG_SLOTS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_pool: int = 4_000, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_pool: int = 3_000, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> Model | None:
     """The model, or None if the labelled rows are not of two classes."""
     marked = labels.select(F.col(key).alias("id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).dropna()
     marked = marked.groupBy("id").agg(F.min(F.col("good").cast("int")).alias("good"))
@@ -236,8 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_pool
         return [pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.view(np.int64))), pa.ListArray.from_arrays(pa.array(wide), pa.array(meta.reshape(-1)))]
 
     made = _annotated(both, measure, "keys array<bigint>, meta array<double>", ["id", "source", "lang", "good"])
-    table = made.select("row.id", "row.good", "keys", "meta").toPandas().sort_values("id", kind="stable")
-    label = table["good"].to_numpy(np.int64)
+    table = made.select("row.id", "row.good", "keys", "meta").toArrow().sort_by("id")
+    label = table["good"].to_numpy().astype(np.int64)
     if len(np.unique(label[label >= 0])) < 2:
         return None
     return co_train(_Sample(table), label)

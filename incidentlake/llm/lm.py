@@ -143,10 +143,10 @@ def train(texts: DataFrame, order: int = 3, arc_share: float = 2.0**-18, word_sh
     """
     words = written(_counted(texts, lambda t: tokens(t)[0]), "words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = words.filter(F.col("c") >= max(2, word_share * total)).toPandas()
-    keys = frequent["key"].to_numpy(np.int64).view(np.uint64)
+    frequent = words.filter(F.col("c") >= max(2, word_share * total)).toArrow()
+    keys = frequent["key"].to_numpy().astype(np.int64).view(np.uint64)
     place = np.argsort(keys)
-    model = Automaton(keys[place], frequent["c"].to_numpy(np.int64)[place], total, distinct)
+    model = Automaton(keys[place], frequent["c"].to_numpy().astype(np.int64)[place], total, distinct)
     p = (model.count + 1) / (total + distinct + 1)
     end = int(model.word_ids(np.array([END]))[0])
     arcs: dict[int, tuple[float, int]] = {}  # key -> probability, next state
