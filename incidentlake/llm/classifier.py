@@ -213,7 +213,7 @@ def _features(texts: pa.Array, source: pa.Array, lang: pa.Array) -> tuple[Words,
     return Words(texts, ALNUM_WORDS, True), meta_features(Words(texts), _slots(source, SOURCE_SLOTS), _slots(lang, LANG_SLOTS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_pool: int = 3_000, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4_000, max_pool: int = 1_500, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang") -> Model | None:
     """The model, or None if the labelled rows are not of two classes."""
     marked = labels.select(F.col(key).alias("id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).dropna()
     marked = marked.groupBy("id").agg(F.min(F.col("good").cast("int")).alias("good"))
