@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentlake.llm.words import Words, _BYTE_STEP, annotate, byte_table, covered, mix, powers
+from incidentlake.llm.words import Words, annotate, covered, mix
 
 FIELDS = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -98,10 +98,7 @@ def duplicate_lines(words: Words) -> np.ndarray:
     end = np.minimum(end, offsets[row + 1])
     some = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
     start, end, row = start[some], end[some], row[some]
-    up, down = powers(_BYTE_STEP, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_table(False)[data] * up[:-1], out=sums[1:])
-    line = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    line = mix(words.spans(start, end, False) + (end - start).astype(np.uint64))
     _, first = np.unique(line ^ mix(row.astype(np.uint64) + np.uint64(1)), return_index=True)
     again = np.ones(len(line), bool)
     again[first] = False

@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 SLICE_BYTES = 2 << 20  # text per numpy pass; a longer document is a slice of its own
 
+BLOCK = 4096  # powers kept at a time
 _BYTE_STEP, _WORD_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so powers have inverses
 
 
@@ -28,20 +29,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(4)
-def _powers(step: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(step, -1, 1 << 64)
-    ones = np.ones(size, np.uint64)
+@lru_cache(8)
+def _low(step: int) -> np.ndarray:
+    """The powers 0 to ``BLOCK - 1``."""
+    ones = np.full(BLOCK, step, np.uint64)
     ones[0] = 1
-    up, down = ones.copy(), ones.copy()
-    up[1:], down[1:] = step, inverse
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    return np.cumprod(ones, dtype=np.uint64)
+
 
+def _high(step: int, n: int) -> np.ndarray:
+    """Powers of the places 0, ``BLOCK``, 2 * ``BLOCK`` ... below n and one more."""
+    steps = np.full(n // BLOCK + 1, pow(step, BLOCK, 1 << 64), np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
 
-def powers(step: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(step, size)
-    return up[:n], down[:n]
+
+def prefix_sums(values: np.ndarray, step: int) -> np.ndarray:
+    """Sums of the first 0, 1, ... values, each times the power of its place; powers are made block by block."""
+    n = len(values)
+    whole = n // BLOCK * BLOCK
+    low, high = _low(step), _high(step, n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.multiply(values[:whole].reshape(-1, BLOCK), low, out=sums[1 : whole + 1].reshape(-1, BLOCK))
+    sums[1 : whole + 1].reshape(-1, BLOCK)[:] *= high[: whole // BLOCK, None]
+    sums[whole + 1 :] = values[whole:] * low[: n - whole] * high[-1]
+    return np.cumsum(sums, out=sums)
+
+
+def inverse_powers(step: int, at: np.ndarray, n: int) -> np.ndarray:
+    """What takes the powers of places below n back."""
+    inverse = pow(step, -1, 1 << 64)
+    return _low(inverse)[at % BLOCK] * _high(inverse, n)[at // BLOCK]
 
 
 def byte_table(lower: bool) -> np.ndarray:
@@ -94,11 +112,12 @@ class Words:
         self.n = len(self.start)
 
     def hashes(self) -> np.ndarray:
-        up, down = powers(_BYTE_STEP, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(byte_table(self.lower)[self.data] * up[:-1], out=sums[1:])
-        size = (self.end - self.start).astype(np.uint64)
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + size * np.uint64(_WORD_STEP))
+        return mix(self.spans(self.start, self.end, self.lower) + (self.end - self.start).astype(np.uint64) * np.uint64(_WORD_STEP))
+
+    def spans(self, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+        """A number for the bytes from each start to its end, wherever they lie; not mixed yet."""
+        sums = prefix_sums(byte_table(lower)[self.data], _BYTE_STEP)
+        return (sums[end] - sums[start]) * inverse_powers(_BYTE_STEP, start, len(self.data))
 
     def word(self, i: int) -> bytes:
         raw = self.data[self.start[i] : self.end[i]].tobytes()
@@ -119,11 +138,9 @@ def windows(hashes: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray,
     n = len(hashes)
     if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = powers(_WORD_STEP, n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:-1], out=sums[1:])
+    sums = prefix_sums(hashes, _WORD_STEP)
     at = np.flatnonzero(doc[: n - size + 1] == doc[size - 1 :])
-    return mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size)), at
+    return mix((sums[at + size] - sums[at]) * inverse_powers(_WORD_STEP, at, n) + np.uint64(size)), at
 
 
 def covered(n: int, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
