@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
+from incidentlake.functions.numbers import round2
 from incidentlake.ml import density, forest, region_risk
 from incidentlake.operators import regionhour as R
 
@@ -83,3 +84,9 @@ def test_forest_needs_ten_rows(spark):
     df = spark.range(9).select(F.lit("malware").alias("attack_method"))
     assert forest.train(df) is None
     assert (V.FOREST_TREES, V.FOREST_MIN_ROWS) == (200, 10)
+
+
+def test_round2_is_one_rule_for_every_size(spark):
+    values = [0.0, 0.005, 0.125, 0.575, 255.995, 256.125, 256.375, 12345.675, 2.0**40 + 0.125, 1e17]
+    df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
+    assert [r.r for r in df.select(round2(F.col("x")).alias("r")).collect()] == [*(round(x, 2) for x in values), None]
