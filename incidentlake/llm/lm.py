@@ -1,44 +1,44 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Training counts every word (and the end of each text). Words, and runs of up to ``order`` words, whose
-share of all tokens is at least ``arc_share`` become arcs; runs whose share is at least ``state_share``
-become states, so there are at most 1 / arc_share arcs and 1 / state_share states of each length,
-whatever the corpus. They are discounted by ``DISCOUNT``:
-
-    p(w | s) = (c(s w) - D) / c(s) + rest(s) * p(w | fail(s))   if s has an arc for w
-    p(w | s) = rest(s) * p(w | fail(s))                        else: the failure arc weighs rest(s)
-    p(w)     = (c(w) + 1) / (N + V + 1)                        in the empty state
-
-``rest`` is what the arcs of a state leave, so the probabilities of all known words and of one unknown
-word sum to 1 in every state. A text is read once from left to right: the state follows arcs, or else
-failure arcs whose weights are added, until the word is found.
-
-The counts of all words are exact and as many as the corpus has; only those above ``arc_share`` go to the
-tasks. A rarer word has no arcs, so a task knows everything about it but its count; these words are sent
-out once, and their counts come back as one sum per text.
-
-Null texts are empty and score their end only. Repeated rows count and are scored as often as they occur.
-With an empty training set every token is unknown: N = V = 0 and each has probability 1.
+Training counts every run of 1 to ``order`` tokens (words, and the end of each text); none is left out,
+so the model grows with the corpus. Every run that occurs is an arc, and every run of fewer than
+``order`` tokens that occurs is a state:
+
+    p(w)     = (c(w) + 1) / (N + V + 1)                          in the empty state
+    p(w | s) = (c(s w) + mass * p(w | fail(s))) / (c(s) + mass)  if s has an arc for w
+    p(w | s) = rest(s) * p(w | fail(s))                          else; the failure arc weighs rest(s) = mass / (c(s) + mass)
+
+The failure arc of a state leads to the state of its last words, one fewer. The probabilities of all known
+words and of one unknown word sum to 1 in every state. A text is read once from left to right: the state
+follows its arc for the next token, or else failure arcs whose weights are added, until there is one.
+
+No task holds the whole automaton. Each chunk of texts sends its distinct runs once, as sorted 64-bit
+hashes with the counts of its training rows, cut into ranges; the part that holds a range adds up the
+counts of all chunks and answers each one. A chunk then has the exact weights of all states and arcs that
+its texts can reach, and walks them. A run that a third of all texts hold is one entry a chunk.
+Chunks and parts take ``chunk_bytes`` and ``part_bytes`` of text on average, or one longer text.
+
+Two different runs share a hash with a chance of about 2**-63. Null texts are empty and score their end
+only. Repeated rows count and are scored as often as they occur. Rows where ``training`` is null are not
+learned from. With an empty training set every token is unknown: N = V = 0 and each has probability 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from incidentlake.llm.chunks import blobs, chunk_table, planes, split, unplanes
 from incidentlake.llm.tables import written
-from incidentlake.llm.words import Words, annotate, mix, slices
+from incidentlake.llm.words import Words, windows
 
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
-DISCOUNT = 0.5
-FLUSH = 3_000_000  # distinct entries a task holds before it sends them out
+WORD = np.uint64(1)  # lowest bit of a key: the run is a single token
+CHUNK_BYTES, PART_BYTES = 4 << 20, 8 << 20
 LANE = 256
-_WORD_BITS = 21
+_COUNT, _TOTAL = 4, 6  # bytes of a chunk's count and of the corpus's
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,256 +51,149 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return hashes, np.repeat(np.arange(rows), np.diff(first)), first
 
 
-def _counted(texts: DataFrame, keys) -> DataFrame:
-    """(key, c): how often each key occurs in the texts; summed in the tasks first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, new = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            all_keys, back = np.unique(np.concatenate([known, *(k for k, _ in new)]), return_inverse=True)
-            return all_keys, np.bincount(back, np.concatenate([count, *(c for _, c in new)]), len(all_keys)).astype(np.int64)
-
-        held = 0
-        for batch in batches:
-            column = batch.column(0)
-            for lo, hi in slices(column):
-                found = np.unique(keys(column.slice(lo, hi - lo)), return_counts=True)
-                new.append(found)
-                held += len(found[0])
-                if held > FLUSH:
-                    known, count = merged()
-                    new, held = [], 0
-                    if len(known) > FLUSH:
-                        yield _count_batch(known, count)
-                        known, count = known[:0], count[:0]
-        known, count = merged()
-        yield _count_batch(known, count)
-
-    return texts.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
+class Grams:
+    """The runs of 1 to ``order`` tokens inside the rows, numbered by their sorted distinct ``keys``.
 
+    ``at[k, i]`` is the run of k + 1 tokens that ends with token i, or -1 where the row is too short;
+    ``length`` and ``last`` are a run's number of tokens and the token that one of its places ends with.
+    """
 
-def _count_batch(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "c"])
+    def __init__(self, texts: pa.Array, order: int):
+        hashes, self.row, self.first = tokens(texts)
+        found = [windows(hashes, self.row, k) for k in range(1, order + 1)]
+        keys = [(key & ~WORD) | np.uint64(k == 0) for k, (key, _) in enumerate(found)]
+        ends = [start + k for k, (_, start) in enumerate(found)]
+        cuts = np.cumsum([len(k) for k in keys])
+        self.keys, place, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        self.length = np.searchsorted(cuts, place, "right") + 1
+        self.last = np.concatenate(ends)[place]
+        self.at = np.full((order, len(hashes)), -1)
+        for k, (end, part) in enumerate(zip(ends, np.split(back, cuts[:-1]))):
+            self.at[k, end] = part
+
+    def counts(self, learned: np.ndarray) -> np.ndarray:
+        """How often each run occurs in the rows to learn from."""
+        here = learned[self.row]
+        return sum(np.bincount(at[here & (at >= 0)], minlength=len(self.keys)) for at in self.at)
 
 
-@dataclass
 class Automaton:
-    """State 0 is empty. ``arcs`` holds sorted keys state << 21 | word; failure arcs lead to fewer words."""
-
-    head: np.ndarray  # sorted hashes of the frequent words
-    count: np.ndarray  # their counts
-    total: int
-    distinct: int
-    state_count: list[int] = field(default_factory=lambda: [0])
-    fail: list[int] = field(default_factory=lambda: [0])
-    rest: list[float] = field(default_factory=lambda: [1.0])
-    next_state: dict[int, int] = field(default_factory=dict)  # key -> the state that holds it
-    arc_keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    arc_weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    arc_next: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-
-    @property
-    def base(self) -> float:
-        return float(np.log10(self.total + self.distinct + 1))
-
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word, or -1 for a rare one."""
-        if not len(self.head):
-            return np.full(len(hashes), -1)
-        i = np.minimum(np.searchsorted(self.head, hashes), len(self.head) - 1)
-        return np.where(self.head[i] == hashes, i, -1)
-
-    def follow(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weight (log10, without the empty state's part) and next state; -inf stands for no arc."""
+    """States and arcs that some texts can reach; a state is the run that it stands for, ``empty`` the last one."""
+
+    def __init__(self, grams: Grams, counts: np.ndarray, total: int, distinct: int, mass: float):
+        order, n = len(grams.at), len(grams.keys)
+        self.at, self.empty, self.arc = grams.at, n, counts > 0
+        self.base = float(np.log10(total + distinct + 1))
+        p, self.fail = np.zeros(n), np.full(n, n)
+        for k in range(1, order + 1):
+            mine = np.flatnonzero(grams.length == k)
+            end = grams.last[mine]
+            if k == 1:
+                p[mine] = (counts[mine] + 1) / (total + distinct + 1)
+            else:
+                state, shorter = grams.at[k - 2, end - 1], grams.at[k - 2, end]
+                p[mine] = (counts[mine] + mass * p[shorter]) / (counts[state] + mass)
+                self.fail[mine] = shorter
+        self.weight, self.rest = np.log10(p), np.log10(mass / (counts + mass))
+        self.next = np.where(grams.length < order, np.where(self.arc, np.arange(n), n), self.fail)
+        self.length = np.append(grams.length, 0)
+
+    def follow(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight (log10) of each token in its state, and the next state."""
         weight, out = np.zeros(len(state)), np.zeros(len(state), np.int64)
         here, todo = state.copy(), np.arange(len(state))
-        rest, fail = self.log_rest, self.fails
         while len(todo):
-            s, w = here[todo], word[todo]
-            key = (s << _WORD_BITS) | np.maximum(w, 0)
-            i = np.minimum(np.searchsorted(self.arc_keys, key), max(len(self.arc_keys) - 1, 0))
-            found = (self.arc_keys[i] == key) & (w >= 0) if len(self.arc_keys) else np.zeros(len(todo), bool)
-            weight[todo[found]] += self.arc_weight[i[found]]
-            out[todo[found]] = self.arc_next[i[found]]
-            lost = ~found & (s > 0)
-            weight[todo[lost]] += rest[s[lost]]
-            here[todo[lost]] = fail[s[lost]]
-            todo = todo[lost]
+            s = here[todo]
+            arc = self.at[self.length[s], token[todo]]
+            found = self.arc[arc] | (s == self.empty)
+            weight[todo[found]] += self.weight[arc[found]]
+            out[todo[found]] = self.next[arc[found]]
+            todo, s = todo[~found], s[~found]
+            weight[todo] += self.rest[s]
+            here[todo] = self.fail[s]
         return weight, out
 
-    def ready(self) -> Automaton:
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.log10(np.array(self.rest))
-        self.fails = np.array(self.fail)
-        return self
-
 
-def train(texts: DataFrame, order: int = 3, arc_share: float = 2.0**-18, word_share: float = 2.0**-20, state_share: float = 2.0**-12) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the counts (key, c) of all words as a table in the shared folder.
+def walk(model: Automaton, first: np.ndarray) -> np.ndarray:
+    """The log10 probability of each text; ``first`` is the first token of each, and the end.
 
-    ``texts`` has one string column. The driver sees words, arcs and states above their shares only.
-    """
-    words = written(_counted(texts, lambda t: tokens(t)[0]), "words")
-    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = words.filter(F.col("c") >= max(2, word_share * total)).toArrow()
-    keys = frequent["key"].to_numpy().astype(np.int64).view(np.uint64)
-    place = np.argsort(keys)
-    model = Automaton(keys[place], frequent["c"].to_numpy().astype(np.int64)[place], total, distinct)
-    p = (model.count + 1) / (total + distinct + 1)
-    end = int(model.word_ids(np.array([END]))[0])
-    arcs: dict[int, tuple[float, int]] = {}  # key -> probability, next state
-    # states of one word
-    for w in np.flatnonzero(model.count >= max(2, state_share * total)).tolist():
-        if w != end:
-            _add_state(model, 0, w, int(model.count[w]), 0)
-    weights = {w: p[w] for w in range(len(p))}
-    for n in range(2, order + 1):
-        states = [s for s in range(1, len(model.fail)) if model.length[s] == n - 1]
-        if not states:
-            break
-        least = max(2, arc_share * total)
-        counted = _counted(texts, _runs(model.head, model.count >= least, model.path, states))
-        rows = counted.filter(F.col("c") >= least).collect()
-        by_state: dict[int, list[tuple[int, int]]] = {}
-        for r in rows:
-            by_state.setdefault(r["key"] >> _WORD_BITS, []).append((r["key"] & ((1 << _WORD_BITS) - 1), r["c"]))
-        for s in states:
-            mine = sorted(by_state.get(s, []))
-            c = model.state_count[s]
-            model.rest[s] = 1 - sum(x - DISCOUNT for _, x in mine) / c
-            for w, x in mine:
-                below = _probability(model, arcs, weights, model.fail[s], w)
-                arcs[s << _WORD_BITS | w] = (x - DISCOUNT) / c + model.rest[s] * below, 0
-                if n < order and w != end and x >= state_share * total:
-                    _add_state(model, s, w, x, model.next_state.get(model.fail[s] << _WORD_BITS | w, 0))
-    for w in range(len(p)):
-        arcs[w] = p[w], 0  # the empty state
-    keys = np.array(sorted(arcs), np.int64)
-    model.arc_keys = keys
-    model.arc_weight = np.log10(np.array([arcs[k][0] for k in keys.tolist()])) if len(keys) else np.zeros(0)
-    model.arc_next = np.array([_target(model, k >> _WORD_BITS, k & ((1 << _WORD_BITS) - 1)) for k in keys.tolist()], np.int64)
-    model.next_state = {}
-    return model.ready(), words
-
-
-def _add_state(model: Automaton, before: int, word: int, count: int, fail: int) -> None:
-    new = len(model.fail)
-    model.next_state[before << _WORD_BITS | word] = new
-    model.state_count.append(count)
-    model.fail.append(fail)
-    model.rest.append(1.0)
-    if not hasattr(model, "length"):
-        model.length, model.path = {0: 0}, {0: ()}
-    model.length[new] = model.length[before] + 1
-    model.path[new] = (*model.path[before], word)
-
-
-def _probability(model: Automaton, arcs: dict, unigram: dict, s: int, w: int) -> float:
-    factor = 1.0
-    while s:
-        found = arcs.get(s << _WORD_BITS | w)
-        if found:
-            return factor * found[0]
-        factor *= model.rest[s]
-        s = model.fail[s]
-    return factor * unigram[w]
-
-
-def _target(model: Automaton, s: int, w: int) -> int:
-    """The longest state that the words of s and then w end with."""
-    while True:
-        found = model.next_state.get(s << _WORD_BITS | w)
-        if found or not s:
-            return found or 0
-        s = model.fail[s]
-
-
-def _runs(head: np.ndarray, heavy: np.ndarray, paths: dict, states: list[int]):
-    """Keys state << 21 | word of all places where the state's words stand before a frequent word."""
-    length = len(paths[states[0]])
-    finder = Automaton(head, np.zeros(0), 0, 0)
-    code = {paths[s]: s for s in states}
-    known = np.array(list(code), np.int64).reshape(len(code), length)
-    packed = np.zeros(len(code), np.uint64)
-    for i in range(length):
-        packed = mix(packed + known[:, i].astype(np.uint64) + np.uint64(1))
-    order = np.argsort(packed)
-    packed, number = packed[order], np.array(list(code.values()), np.int64)[order]
-
-    def keys(texts: pa.Array) -> np.ndarray:
-        hashes, row, _ = tokens(texts)
-        ids = finder.word_ids(hashes)
-        if len(ids) <= length:
-            return np.zeros(0, np.uint64)
-        last = ids[length:]
-        ok = (last >= 0) & (row[length:] == row[: len(row) - length])
-        ok[ok] = heavy[last[ok]]
-        mine = np.zeros(len(last), np.uint64)
-        for i in range(length):
-            part = ids[i : len(ids) - length + i]
-            ok &= part >= 0
-            mine = mix(mine + part.astype(np.uint64) + np.uint64(1))
-        at = np.minimum(np.searchsorted(packed, mine), len(packed) - 1)
-        ok &= packed[at] == mine
-        return ((number[at[ok]] << _WORD_BITS) | last[ok]).astype(np.uint64)
-
-    return keys
-
-
-def walk(model: Automaton, texts: pa.Array, reach: int) -> list[pa.Array]:
-    """Per text: tokens, known frequent tokens, the two sums without the rare words, the rare words.
-
-    Texts are cut into lanes that all advance one token a step. A lane starts ``reach`` tokens early
-    without adding anything, which is as far as a state remembers.
+    Texts are cut into lanes that all advance one token a step. A lane starts as many tokens early as a
+    state remembers, without adding anything for them.
     """
-    hashes, row, first = tokens(texts)
-    ids = model.word_ids(hashes)
     size = np.diff(first)
     lanes = -(-size // LANE)
     text = np.repeat(np.arange(len(size)), lanes)
     begin = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
     stop = np.minimum(begin + LANE, first[text + 1])
-    at = np.maximum(begin - reach, first[text])
-    state, score = np.zeros(len(text), np.int64), np.zeros(len(text))
+    at = np.maximum(begin - len(model.at) + 1, first[text])
+    state, score = np.full(len(text), model.empty), np.zeros(len(text))
     live = np.arange(len(text))
     while len(live):
         here = at[live]
-        weight, state[live] = model.follow(state[live], ids[here])
-        weight[ids[here] < 0] -= model.base
+        weight, state[live] = model.follow(state[live], here)
         score[live] += np.where(here >= begin[live], weight, 0.0)
         at[live] += 1
         live = live[at[live] < stop[live]]
-    rare = ids < 0
-    head = np.zeros(len(ids))
-    head[~rare] = np.log10(model.count[ids[~rare]] + 1)
-    cut = np.searchsorted(np.flatnonzero(rare), first).astype(np.int32)
-    return [
-        pa.array(size),
-        pa.array(np.bincount(row[~rare], minlength=len(size))),
-        pa.array(np.bincount(row, head, len(size)) - size * model.base),
-        pa.array(np.bincount(text, score, len(size))),
-        pa.ListArray.from_arrays(pa.array(cut), pa.array(hashes[rare].view(np.int64))),
-    ]
-
-
-def score(docs: DataFrame, keep: list[str], training: Column, text: str = "text", order: int = 3, **shares: float) -> DataFrame:
+    return np.bincount(text, score, len(size))
+
+
+def _send(table: pa.Table, order: int, parts: int) -> pa.Table:
+    grams = Grams(table["text"], order)
+    counts = grams.counts(table["train"].to_numpy())
+    number = table["chunk"][0].as_py()
+    return blobs([(p, number, planes(grams.keys[lo:hi], 8) + planes(counts[lo:hi], _COUNT)) for p, lo, hi in split(grams.keys, 64, parts)], ("part", "chunk"))
+
+
+def _add(table: pa.Table) -> pa.Table:
+    """The corpus's counts for each chunk; the first row has the part's distinct words and all its tokens."""
+    sent = table["blob"].to_pylist()
+    sizes = [len(b) // (8 + _COUNT) for b in sent]
+    keys, back = np.unique(np.concatenate([unplanes(b[: 8 * n], 8) for b, n in zip(sent, sizes)]), return_inverse=True)
+    counts = np.concatenate([unplanes(b[8 * n :], _COUNT) for b, n in zip(sent, sizes)])
+    total = np.bincount(back, counts.astype(np.float64), len(keys)).astype(np.int64)
+    single = total[(keys & WORD) > 0]
+    answers = np.split(total[back], np.cumsum(sizes)[:-1])
+    none = [0] * (len(sent) - 1)
+    return pa.table({
+        "chunk": table["chunk"], "part": table["part"], "blob": pa.array([planes(a, _TOTAL) for a in answers], pa.binary()),
+        "words": pa.array([int((single > 0).sum()), *none], pa.int64()), "tokens": pa.array([int(single.sum()), *none], pa.int64()),
+    })
+
+
+def _score(docs: pa.Table, answers: pa.Table, order: int, total: int, distinct: int, mass: float) -> pa.Table:
+    grams = Grams(docs["text"], order)
+    counts = np.concatenate([unplanes(b, _TOTAL) for b in answers.sort_by("part")["blob"].to_pylist()]).astype(np.int64)
+    model = Automaton(grams, counts, total, distinct, mass)
+    seen, size = counts[grams.at[0]], np.diff(grams.first)
+    return pa.table({
+        "row": docs["row"], "n_tokens": pa.array(size), "n_known": pa.array(np.bincount(grams.row[seen > 0], minlength=len(size))),
+        "train_tokens": pa.array(np.full(len(size), total)),
+        "base_score": pa.array(np.bincount(grams.row, np.log10(seen + 1), len(size)) - size * model.base),
+        "score": pa.array(walk(model, grams.first)),
+    })
+
+
+def score(
+    docs: DataFrame, keep: list[str], training: Column, text: str = "text", order: int = 3, mass: float = 20.0,
+    chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES,
+) -> DataFrame:
     """Learn from the rows where ``training`` holds and score all rows.
 
     The columns ``keep`` in a struct ``row``, with n_tokens, n_known, train_tokens, base_score, score.
     """
-    spark = docs.sparkSession
-    model, words = train(docs.filter(training).select(F.col(f"`{text}`").cast("string").alias("text")), order, **shares)
-    model.path = model.length = None
-    shared = spark.sparkContext.broadcast(model)
-    fields = "n_tokens bigint, n_head bigint, base double, walked double, rare array<bigint>"
-    walked = annotate(docs, text, lambda t: walk(shared.value, t, order - 1), fields, keep)
-    walked = written(walked.withColumn("rid", F.monotonically_increasing_id()), "walked")
-    sent = walked.select("rid", F.explode("rare").alias("key")).join(words, "key")
-    back = sent.groupBy("rid").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_log"), F.count("*").alias("n_rare"))
-    rare_log = F.coalesce("rare_log", F.lit(0.0))
-    return walked.drop("rare").join(back, "rid", "left").select(
-        "row", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base") + rare_log).alias("base_score"), (F.col("walked") + rare_log).alias("score"),
-    )
+    if order < 1 or mass <= 0:
+        raise ValueError("order must be at least 1 and mass above 0")
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
+    chunks, parts = max(8, -(-size // chunk_bytes)), max(4, -(-size // part_bytes))
+    table = chunk_table(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text}`").cast("string").alias("text"),
+        F.coalesce(training, F.lit(False)).alias("train"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"),
+    ), chunks)
+    sent = table.select("chunk", "text", "train").groupBy("chunk").applyInArrow(lambda t: _send(t, order, parts), "part int, chunk int, blob binary")
+    answers = written(sent.groupBy("part").applyInArrow(_add, "chunk int, part int, blob binary, words bigint, tokens bigint"), "counts")
+    distinct, total = answers.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    made = table.schema["row"].dataType.simpleString()
+    return table.select("chunk", "row", "text").groupBy("chunk").cogroup(answers.select("chunk", "part", "blob").groupBy("chunk")).applyInArrow(
+        lambda d, a: _score(d, a, order, total, distinct, mass),
+        f"row {made}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+    )

@@ -24,16 +24,14 @@ the text is not changed. Any columns may be kept.
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentlake.llm.tables import new_path, written
+from incidentlake.llm.chunks import blobs, chunk_table, planes, split, unplanes
+from incidentlake.llm.tables import written
 from incidentlake.llm.words import Words, covered, windows
 
 CHUNK_BYTES = 4 << 20
@@ -42,26 +40,6 @@ FINGERPRINT_BITS = 40
 _LEAST = -(1 << 63)
 
 
-def planes(values: np.ndarray, width: int) -> bytes:
-    """The lowest ``width`` bytes of sorted numbers, byte by byte, which compresses well."""
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unplanes(blob: bytes, width: int) -> np.ndarray:
-    out = np.zeros((len(blob) // width, 8), np.uint8)
-    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, -1).T
-    return out.reshape(-1).view("<u8").astype(np.uint64)
-
-
-def _split(values: np.ndarray, bits: int, parts: int) -> Iterator[tuple[int, int, int]]:
-    """Ranges of sorted numbers of ``bits`` bits that go to each part."""
-    edges = np.array([((p << bits) + parts - 1) // parts for p in range(1, parts)], np.uint64)
-    cuts = [0, *np.searchsorted(values, edges).tolist(), len(values)]
-    for part, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
-        if hi > lo:
-            yield part, lo, hi
-
-
 class _Chunk:
     """Documents of a chunk in their order."""
 
@@ -77,10 +55,6 @@ class _Chunk:
         return w >> np.uint64(64 - FINGERPRINT_BITS), at
 
 
-def _blobs(rows: list[tuple[int, int, bytes]], names: tuple[str, str]) -> pa.Table:
-    return pa.table({names[0]: pa.array([r[0] for r in rows], pa.int32()), names[1]: pa.array([r[1] for r in rows], pa.int32()), "blob": pa.array([r[2] for r in rows], pa.binary())})
-
-
 def _probe(table: pa.Table, block: int, parts: int) -> pa.Table:
     chunk = _Chunk(table)
     prints, at = chunk.fingerprints(block)
@@ -95,13 +69,13 @@ def _probe(table: pa.Table, block: int, parts: int) -> pa.Table:
     prints = prints[first]
     number = table["chunk"][0].as_py()
     values = prints << np.uint64(2) | marks
-    return _blobs([(p, number, planes(values[lo:hi], 6)) for p, lo, hi in _split(prints, FINGERPRINT_BITS, parts)], ("part", "chunk"))
+    return blobs([(p, number, planes(values[lo:hi], 6)) for p, lo, hi in split(prints, FINGERPRINT_BITS, parts)], ("part", "chunk"))
 
 
 def _gather(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of all blobs of a part and the row each came with."""
-    blobs = [unplanes(b, width) for b in table["blob"].to_pylist()]
-    return np.concatenate(blobs), np.repeat(np.arange(len(blobs)), [len(b) for b in blobs])
+    sent = [unplanes(b, width) for b in table["blob"].to_pylist()]
+    return np.concatenate(sent), np.repeat(np.arange(len(sent)), [len(b) for b in sent])
 
 
 def _back(table: pa.Table, row: np.ndarray, values: np.ndarray, width: int) -> pa.Table:
@@ -144,7 +118,7 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _extend(docs: pa.Table, hits: pa.Table, size: int, parts: int) -> pa.Table:
     block = size // 2
     if not docs.num_rows or not hits.num_rows:
-        return _blobs([], ("part", "chunk"))
+        return blobs([], ("part", "chunk"))
     chunk = _Chunk(docs)
     prints, at = chunk.fingerprints(block)
     anchors = np.zeros(chunk.words.n + 1, np.int64)
@@ -155,7 +129,7 @@ def _extend(docs: pa.Table, hits: pa.Table, size: int, parts: int) -> pa.Table:
     runs, first = np.unique(runs[near], return_index=True)
     ids = chunk.ids[chunk.words.doc[place[near][first]]].astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
     number = docs["chunk"][0].as_py()
-    return _blobs([(p, number, planes(runs[lo:hi], 8) + planes(ids[lo:hi], 8)) for p, lo, hi in _split(runs, 64, parts)], ("part", "chunk"))
+    return blobs([(p, number, planes(runs[lo:hi], 8) + planes(ids[lo:hi], 8)) for p, lo, hi in split(runs, 64, parts)], ("part", "chunk"))
 
 
 def _earlier(table: pa.Table) -> pa.Table:
@@ -199,26 +173,19 @@ def remove_repeats(docs: DataFrame, keep: list[str], size: int = 20, key: str =
     The chunks are a bucketed table in the shared folder, so each of the three passes over the texts
     reads them in place and only fingerprints are shuffled.
     """
-    spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`").cast("string")))).first()[0] or 0
     chunks, parts = max(8, -(-total // CHUNK_BYTES)), max(4, -(-total // PART_BYTES))
-    buckets = max(4, -(-chunks // 4))
     dealt = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(_LEAST)).alias("id"),
         F.col(f"`{text}`").cast("string").alias("text"),
     ).withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    name = f"chunks_{uuid.uuid4().hex}"
-    (
-        dealt.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").sortBy("chunk")
-        .option("path", new_path(spark, "chunks")).option("compression", "zstd").saveAsTable(name)
-    )
-    table = spark.table(name)
-    blobs, answer = "part int, chunk int, blob binary", "chunk int, blob binary"
+    table = chunk_table(dealt, chunks)
+    sent_as, answer = "part int, chunk int, blob binary", "chunk int, blob binary"
     slim = table.select("chunk", "id", "text")
     block = size // 2
-    hits = written(slim.groupBy("chunk").applyInArrow(lambda t: _probe(t, block, parts), blobs).groupBy("part").applyInArrow(_meet, answer), "hits")
-    sent = slim.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda d, h: _extend(d, h, size, parts), blobs)
+    hits = written(slim.groupBy("chunk").applyInArrow(lambda t: _probe(t, block, parts), sent_as).groupBy("part").applyInArrow(_meet, answer), "hits")
+    sent = slim.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(lambda d, h: _extend(d, h, size, parts), sent_as)
     later = written(sent.groupBy("part").applyInArrow(_earlier, answer), "later")
     made = table.schema["row"].dataType.simpleString()
     return table.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInArrow(

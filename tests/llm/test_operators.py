@@ -263,42 +263,59 @@ def test_weights_hold(spark):
 # scoring
 
 
-def test_scoring(docs):
-    train = F.col("doc_id") % 2 == 0
-    shares = dict(arc_share=2.0**-9, word_share=2.0**-10, state_share=2.0**-9)
-    rows = lm.score(docs, ["doc_id", "text"], train, **shares).collect()
+def backoff(rows, learn, order, mass):
+    """p(word, before) by the definition, from the counts of all runs of the rows to learn from."""
     count = Counter()
-    for i, text, *_ in ROWS:
-        if i % 2 == 0:
-            count.update([*words_of(ascii_lower(text or "")), None])
-    total, distinct = sum(count.values()), len(count)
+    for i, text, *_ in rows:
+        if learn(i):
+            w = [*words_of(ascii_lower(text or "")), None]
+            count.update(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    single = {g[0]: c for g, c in count.items() if len(g) == 1}
+    total, distinct = sum(single.values()), len(single)
+
+    def p(word, before):
+        if not before:
+            return (single.get(word, 0) + 1) / (total + distinct + 1)
+        return (count[(*before, word)] + mass * p(word, before[1:])) / (count[before] + mass)
+
+    return p, single, total, distinct
+
+
+@pytest.mark.parametrize("order,mass,bytes_", [(3, 20.0, {}), (1, 5.0, {}), (2, 0.5, {}), (4, 3.0, {"chunk_bytes": 3000, "part_bytes": 900})])
+def test_scoring(docs, order, mass, bytes_):
+    rows = lm.score(docs, ["doc_id", "text"], F.col("doc_id") % 2 == 0, order=order, mass=mass, **bytes_).collect()
+    p, single, total, distinct = backoff(ROWS, lambda i: i % 2 == 0, order, mass)
     for r in rows:
         w = [*words_of(ascii_lower(r["row"]["text"] or "")), None]
-        base = sum(math.log10((count[x] + 1) / (total + distinct + 1)) for x in w)
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count[x] > 0 for x in w), total)
+        base = sum(math.log10((single.get(x, 0) + 1) / (total + distinct + 1)) for x in w)
+        score = sum(math.log10(p(x, tuple(w[max(0, i - order + 1) : i]))) for i, x in enumerate(w))
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(x in single for x in w), total)
         assert r["base_score"] == pytest.approx(base, rel=1e-9)
-    assert len(rows) == len(ROWS) and sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
-
-
-def test_each_state_is_a_distribution_and_lanes_do_not_matter(docs):
-    texts = docs.select("text")
-    model, words = lm.train(texts, 3, 2.0**-9, 2.0**-10, 2.0**-9)
-    everything = words.toPandas()
-    ids = model.word_ids(everything["key"].to_numpy(np.int64).view(np.uint64))
-    assert len(model.fail) > 3
-    for state in range(len(model.fail)):
-        weight, _ = model.follow(np.full(len(ids), state), ids)
-        weight[ids < 0] += np.log10(everything["c"].to_numpy()[ids < 0] + 1) - model.base
-        rest, s = 0.0, state
-        while s:
-            rest, s = rest + model.log_rest[s], model.fails[s]
-        assert (10**weight).sum() + 10 ** (rest - model.base) == pytest.approx(1, abs=1e-9)
+        assert r["score"] == pytest.approx(score, rel=1e-9)
+    assert len(rows) == len(ROWS) and (order == 1 or sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows))
+
+
+def test_each_state_is_a_distribution_and_lanes_do_not_matter():
+    p, single, *_ = backoff(ROWS, lambda i: True, 3, 20.0)
+    words = [w for w in single]
+    for before in [(), ("loop",), ("the", "loop"), ("repeat", "me"), ("never", "seen")]:
+        assert sum(p(w, before) for w in [*words, "an unknown word"]) == pytest.approx(1, abs=1e-9)
     column = pa.array([t for _, t, *_ in ROWS])
-    long = lm.walk(model, column, 2)
+    grams = lm.Grams(column, 3)
+    counts = grams.counts(np.ones(len(ROWS), bool))
+    single_counts = counts[grams.length == 1]
+    model = lm.Automaton(grams, counts, int(single_counts.sum()), len(single_counts), 20.0)
+    long = lm.walk(model, grams.first)
     lm.LANE, kept = 5, lm.LANE
-    short = lm.walk(model, column, 2)
+    short = lm.walk(model, grams.first)
     lm.LANE = kept
-    assert np.allclose(long[3].to_numpy(), short[3].to_numpy())
+    assert np.allclose(long, short)
+
+
+def test_rows_without_a_training_mark_are_scored_only(docs):
+    half = F.when(F.col("doc_id") % 2 == 0, True)
+    marked = {(r["row"]["doc_id"], round(r["score"], 6)) for r in lm.score(docs, ["doc_id"], half).collect()}
+    assert marked == {(r["row"]["doc_id"], round(r["score"], 6)) for r in lm.score(docs, ["doc_id"], F.col("doc_id") % 2 == 0).collect()}
 
 
 def test_scoring_without_training_rows(docs, empty):
