@@ -174,7 +174,7 @@ def _score(docs: pa.Table, answers: pa.Table, order: int, total: int, distinct:
 
 
 def score(
-    docs: DataFrame, keep: list[str], training: Column, text: str = "text", order: int = 3, mass: float = 20.0,
+    docs: DataFrame, keep: list[str], training: Column, text: str = "text", order: int = 3, mass: float = 100.0,
     chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Learn from the rows where ``training`` holds and score all rows.
