@@ -12,8 +12,8 @@ The failure arc of a state leads to the state of its last words, one fewer. The
 words and of one unknown word sum to 1 in every state. A text is read once from left to right: the state
 follows its arc for the next token, or else failure arcs whose weights are added, until there is one.
 
-No task holds the whole automaton. Each chunk of texts sends its distinct runs once, as sorted 64-bit
-hashes with the counts of its training rows, cut into ranges; the part that holds a range adds up the
+No task holds the whole automaton. Each chunk of texts sends its distinct runs once, as gaps of sorted
+64-bit hashes with the counts of its training rows, cut into ranges; the part that holds a range adds up the
 counts of all chunks and answers each one. A chunk then has the exact weights of all states and arcs that
 its texts can reach, and walks them. A run that a third of all texts hold is one entry a chunk.
 Chunks and parts take ``chunk_bytes`` and ``part_bytes`` of text on average, or one longer text.
@@ -36,7 +36,7 @@ from incidentlake.llm.words import Words, windows
 
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text
 WORD = np.uint64(1)  # lowest bit of a key: the run is a single token
-CHUNK_BYTES, PART_BYTES = 4 << 20, 8 << 20
+CHUNK_BYTES, PART_BYTES = 4 << 20, 4 << 20
 LANE = 256
 _COUNT, _TOTAL = 4, 6  # bytes of a chunk's count and of the corpus's
 
@@ -141,14 +141,14 @@ def _send(table: pa.Table, order: int, parts: int) -> pa.Table:
     grams = Grams(table["text"], order)
     counts = grams.counts(table["train"].to_numpy())
     number = table["chunk"][0].as_py()
-    return blobs([(p, number, planes(grams.keys[lo:hi], 8) + planes(counts[lo:hi], _COUNT)) for p, lo, hi in split(grams.keys, 64, parts)], ("part", "chunk"))
+    return blobs([(p, number, planes(np.diff(grams.keys[lo:hi], prepend=np.uint64(0)), 8) + planes(counts[lo:hi], _COUNT)) for p, lo, hi in split(grams.keys, 64, parts)], ("part", "chunk"))
 
 
 def _add(table: pa.Table) -> pa.Table:
     """The corpus's counts for each chunk; the first row has the part's distinct words and all its tokens."""
     sent = table["blob"].to_pylist()
     sizes = [len(b) // (8 + _COUNT) for b in sent]
-    keys, back = np.unique(np.concatenate([unplanes(b[: 8 * n], 8) for b, n in zip(sent, sizes)]), return_inverse=True)
+    keys, back = np.unique(np.concatenate([np.cumsum(unplanes(b[: 8 * n], 8)) for b, n in zip(sent, sizes)]), return_inverse=True)
     counts = np.concatenate([unplanes(b[8 * n :], _COUNT) for b, n in zip(sent, sizes)])
     total = np.bincount(back, counts.astype(np.float64), len(keys)).astype(np.int64)
     single = total[(keys & WORD) > 0]
@@ -174,7 +174,7 @@ def _score(docs: pa.Table, answers: pa.Table, order: int, total: int, distinct:
 
 
 def score(
-    docs: DataFrame, keep: list[str], training: Column, text: str = "text", order: int = 3, mass: float = 100.0,
+    docs: DataFrame, keep: list[str], training: Column, text: str = "text", order: int = 2, mass: float = 100.0,
     chunk_bytes: int = CHUNK_BYTES, part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """Learn from the rows where ``training`` holds and score all rows.
