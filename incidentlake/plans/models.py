@@ -1,15 +1,10 @@
-"""Model, matrix and clustering queries.
-
-All folds and numbers of clusters are run; boosting rounds, the grid and the trees are smaller than the
-library defaults (``incidentlake.ml``), since the full fits take longer than all other queries together.
-"""
+"""Model, matrix and clustering queries, with the library's defaults for rounds, grid, trees and folds."""
 
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from incidentlake import fixed_values as V
 from incidentlake.ml import clustering as C
 from incidentlake.ml import density, forest, region_risk
 from incidentlake.operators import regionhour as R
@@ -21,10 +16,6 @@ from incidentlake.plans.requests import AS_OF
 from incidentlake.session import local_table, materialized
 from incidentlake.sources import tables
 
-SMALL_BOOSTING = {"iterations": 8, "depth": 4, "learning_rate": 0.2}
-SMALL_GRID = (SMALL_BOOSTING, {"iterations": 4, "depth": 3, "learning_rate": 0.3})
-SMALL_FOREST = 10
-
 VIEW_SQL["active"] = (("incidents", "registry"), """
 select i.*, r.object_of_impact, r.source_characteristics, r.confidentiality_breach, r.integrity_breach, r.availability_breach, r.status
 from incidents i left join registry r on i.threat_code = r.threat_code where r.status is distinct from 'Архивная'""")
@@ -172,7 +163,7 @@ def _(d):
 
 
 def _forests(d: Domain):
-    return forest.train(forest.training_set(d.incidents, d.registry), SMALL_FOREST)
+    return forest.train(forest.training_set(d.incidents, d.registry))
 
 
 @query("predict_ml_forest")
@@ -194,14 +185,14 @@ def _prepared(d: Domain):
 
 @query("train_region_risk")
 def _(d):
-    model = region_risk.train(_prepared(d), SMALL_BOOSTING)
+    model = region_risk.train(_prepared(d))
     rows = [tuple(r.values()) for r in model.cv]
     return local_table(d.spark, rows, "fold int, f1 double, threshold double, precision double, recall double, auc double")
 
 
 @query("grid_search")
 def _(d):
-    rows = [tuple(r.values()) for r in region_risk.grid_search(_prepared(d), SMALL_GRID)]
+    rows = [tuple(r.values()) for r in region_risk.grid_search(_prepared(d))]
     return local_table(
         d.spark, rows,
         "iterations int, depth int, learning_rate double, fold int, f1 double, threshold double, precision double, "
@@ -212,7 +203,7 @@ def _(d):
 @query("model_roundtrip")
 def _(d):
     prepared = _prepared(d)
-    model = region_risk.train(prepared, SMALL_GRID[1])
+    model = region_risk.train(prepared)
     path = scratch(d, "region-risk")
     region_risk.save(model, d.spark, path)
     again = region_risk.load(d.spark, path)
@@ -222,14 +213,14 @@ def _(d):
 @query("score_region_hours")
 def _(d):
     table = grid(d)
-    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1])
+    model = region_risk.train(region_risk.prepare(R.features(table)))
     return region_risk.score_region_hours(model, table, forecast_targets(d))
 
 
 @query("predict_ml_temporal")
 def _(d):
     table = grid(d)
-    model = region_risk.train(region_risk.prepare(R.features(table)), SMALL_GRID[1])
+    model = region_risk.train(region_risk.prepare(R.features(table)))
     fallback = scoring.method_target_fallback(
         d.requests,
         stats.grain(d.incidents, d.registry, by=("organization_code",)),

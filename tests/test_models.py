@@ -90,3 +90,14 @@ def test_round2_is_one_rule_for_every_size(spark):
     values = [0.0, 0.005, 0.125, 0.575, 255.995, 256.125, 256.375, 12345.675, 2.0**40 + 0.125, 1e17]
     df = spark.createDataFrame([(x,) for x in [*values, None]], "x double")
     assert [r.r for r in df.select(round2(F.col("x")).alias("r")).collect()] == [*(round(x, 2) for x in values), None]
+
+
+def test_organizations_keep_their_own_history(spark):
+    rows = [(f"org{o}", "a" if o % 2 else "b", "x") for o in range(300) for _ in range(10)]
+    rows += [("few", "a", "x")] * 9 + [(None, "b", "x")]
+    df = spark.createDataFrame(rows, "organization_code string, attack_method string, target_object string")
+    history, overall = forest.label_history(df, {"attack_method": ["a", "b"], "target_object": ["x"]})
+    asked = spark.createDataFrame([("org7",), ("org8",), ("few",), ("new",), (None,)], "organization_code string")
+    got = {r.organization_code: r.attack_method_0_share for r in forest.with_history(asked, history, overall).collect()}
+    common = (1500 + 9) / 3010
+    assert got == {"org7": 1.0, "org8": 0.0, "few": pytest.approx(common), "new": pytest.approx(common), None: pytest.approx(common)}
