@@ -295,6 +295,13 @@ def test_scoring(docs, order, mass, bytes_):
     assert len(rows) == len(ROWS) and (order == 1 or sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows))
 
 
+def test_scoring_learns_runs_of_three_unless_told_otherwise(docs):
+    p, *_ = backoff(ROWS, lambda i: i % 2 == 0, 3, 200.0)
+    for r in lm.score(docs, ["doc_id", "text"], F.col("doc_id") % 2 == 0).collect():
+        w = [*words_of(ascii_lower(r["row"]["text"] or "")), None]
+        assert r["score"] == pytest.approx(sum(math.log10(p(x, tuple(w[max(0, i - 2) : i]))) for i, x in enumerate(w)), rel=1e-9)
+
+
 def test_each_state_is_a_distribution_and_lanes_do_not_matter():
     p, single, *_ = backoff(ROWS, lambda i: True, 3, 20.0)
     words = [w for w in single]
