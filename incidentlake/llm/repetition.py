@@ -8,8 +8,8 @@ its innermost longest-common-prefix interval: the longest repeated run of words
 The union of these runs is the union of all maximal repeats.
 
 Kept are documents that pass the base rules and whose repeats of ``long_repeat`` words or more cover
-at most ``most_covered`` of the words, none being longer than ``longest`` words and than
-``longest_share`` of the document at once.
+at most ``most_covered`` of the words, and in which no repeat is longer than ``longest`` words, whatever
+share of the document that is.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged each for itself.
 """
@@ -133,12 +133,10 @@ def measure(texts: pa.Array, window: int, long_repeat: int) -> list[pa.Array]:
 
 def quality(
     docs: DataFrame, keep: list[str], text: str = "text", window: int = 3, min_words: int = 50, long_repeat: int = 8,
-    most_covered: float = 0.3, longest: int = 50, longest_share: float = 0.25,
+    most_covered: float = 0.3, longest: int = 50,
 ) -> DataFrame:
     """The columns ``keep`` in a struct ``row``, the measures, base_failed and kept; no shuffle."""
     out = annotate(docs, text, lambda texts: measure(texts, window, long_repeat), FIELDS, keep)
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    loops = (F.col("n_long_repeat_words") > most_covered * F.col("n_words")) | (
-        (F.col("longest_repeat") > longest) & (F.col("longest_repeat") > longest_share * F.col("n_words"))
-    )
+    loops = (F.col("n_long_repeat_words") > most_covered * F.col("n_words")) | (F.col("longest_repeat") > longest)
     return out.withColumn("base_failed", base).withColumn("kept", ~base & ~loops)

@@ -201,6 +201,15 @@ def test_quality_rules(docs):
             assert r["kept"] == (not loops)
 
 
+@pytest.mark.parametrize("n,pasted,kept", [(2000, 250, False), (10_000, 1400, False), (10_000, 51, False), (10_000, 50, True), (2000, 0, True)])
+def test_a_passage_pasted_twice_into_a_long_text(spark, n, pasted, kept):
+    words = [f"w{i}" for i in range(n)]
+    words[n // 2 : n // 2 + pasted] = words[100 : 100 + pasted]
+    rows = spark.createDataFrame([(1, " ".join(words))], "doc_id int, text string")
+    got = repetition.quality(rows, ["doc_id"]).first()
+    assert (got["n_words"], got["longest_repeat"], got["base_failed"], got["kept"]) == (n, pasted, False, kept)
+
+
 def test_quality_of_nothing(empty):
     assert repetition.quality(empty, ["doc_id"]).collect() == []
 
