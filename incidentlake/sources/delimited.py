@@ -1,8 +1,13 @@
-"""Delimited logs with an unknown encoding, separator and header row."""
+"""Delimited logs with an unknown encoding, separator and header row.
+
+Each file has the first of the known encodings in which all of its bytes can be read.
+"""
 
 from __future__ import annotations
 
 import csv
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +19,42 @@ _SPARK_ENCODING = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1251": "ISO-8859-1
 _HIGH_BYTES = bytes(range(128, 256))
 
 
-def _probe(spark: SparkSession, path: str, rows: int) -> list[bytes]:
-    """First lines of the first file, as bytes."""
-    files = sorted(spark.read.text(path).inputFiles())
+def _readable(encoding: str) -> Column:
+    """Whether a line can be decoded without loss."""
+    if encoding.startswith("utf-8"):
+        return F.is_valid_utf8("value")
+    undefined = [bytes([b]) for b in _HIGH_BYTES if bytes([b]).decode(encoding, errors="replace") == "\ufffd"]
+    out = F.lit(True)
+    for byte in undefined:
+        out = out & ~F.contains(F.col("value").cast("binary"), F.lit(byte))
+    return out
+
+
+def _files(spark: SparkSession, path: str) -> list:
+    """(file, encodings of all its lines) of every file with lines, by name."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), *[_readable(e).alias(e) for e in V.FILE_ENCODINGS])
+    good = F.array(*[F.when(F.bool_and(f"`{e}`"), F.lit(e)) for e in V.FILE_ENCODINGS])
+    found = lines.groupBy("file").agg(F.array_compact(good).alias("encodings"))
+    files = sorted(found.collect(), key=lambda f: f.file)
     if not files:
-        raise ValueError(f"no files in {path}")
-    return [bytes(r[0]) for r in spark.read.text(files[0]).select(F.col("value").cast("binary")).head(rows)]
+        raise ValueError(f"no lines in {path}")
+    for f in files:
+        if not f.encodings:
+            raise ValueError(f"{f.file} is in none of {V.FILE_ENCODINGS}")
+    return files
+
+
+def _first_lines(spark: SparkSession, path: str) -> dict[str, bytes]:
+    """The first line of each file, as bytes, from its first split."""
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.col("value").cast("binary").alias("line")
+    )
+    return {r.file: bytes(r.line) for r in lines.groupBy("file").agg(F.min_by("line", "id").alias("line")).collect()}
+
+
+def _head(spark: SparkSession, file: str, rows: int) -> list[bytes]:
+    """First lines of a file, as bytes."""
+    return [bytes(r[0]) for r in spark.read.text(unquote(file)).select(F.col("value").cast("binary")).head(rows)]
 
 
 def _cells(line: str, separator: str) -> list[str]:
@@ -30,32 +65,39 @@ def _normalized(cell: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(cell, "﻿", ""), r"\s+", " "))
 
 
-def _decodings(lines: list[bytes]):
-    for encoding in V.FILE_ENCODINGS:
-        try:
-            yield encoding, [line.decode(encoding) for line in lines]
-        except UnicodeDecodeError:
-            continue
+def _grouped(path: str, kinds: dict[str, tuple]) -> dict[tuple, str | list[str]]:
+    """The files of each kind; the path itself if all are of one."""
+    if len(set(kinds.values())) == 1:
+        return {kind: path for kind in kinds.values()}
+    out: dict[tuple, list[str]] = {}
+    for file, kind in kinds.items():
+        out.setdefault(kind, []).append(unquote(file))
+    return out
 
 
 def read_with_header(spark: SparkSession, path: str, required, rows: int) -> DataFrame:
     """All-string frame under the file's own headers.
 
     The header is the first of the leading ``rows`` lines that holds all ``required`` names.
-    Encoding and separator are settled on those lines of one file; the files themselves are
-    read in parallel, and each drops its own lines up to its own header.
+    Header and separator are settled on those lines of the first file, in the first of its encodings
+    that gives a header; a file without that header raises. The encoding is settled for each file, on
+    all of its lines. The files are read in parallel, and each drops its own lines up to its own header.
     """
-    lines = _probe(spark, path, rows)
-    for encoding, texts in _decodings(lines):
+    files = _files(spark, path)
+    lines = _head(spark, files[0].file, rows)
+    for at, encoding in enumerate(files[0].encodings):
         for separator in V.FILE_SEPARATORS:
-            for text in texts:
-                cells = _cells(text, separator)
+            for line in lines:
+                cells = _cells(line.decode(encoding), separator)
                 if set(required) <= set(cells):
-                    return _below_header(spark, path, cells, separator, encoding, rows)
+                    without = files[0].encodings[:at]
+                    kinds = {f.file: (next((e for e in f.encodings if e not in without), f.encodings[0]),) for f in files}
+                    parts = [_below_header(spark, p, cells, separator, e, rows) for (e,), p in _grouped(path, kinds).items()]
+                    return reduce(DataFrame.unionByName, parts)
     raise ValueError(f"could not find the header row in {path}")
 
 
-def _raw(spark: SparkSession, path: str, width: int, separator: str, encoding: str) -> DataFrame:
+def _raw(spark: SparkSession, path: str | list[str], width: int, separator: str, encoding: str) -> DataFrame:
     ddl = ", ".join(f"_c{i} string" for i in range(width))
     return (
         spark.read.schema(ddl)
@@ -99,11 +141,19 @@ def _below_header(spark, path, cells, separator, encoding, rows) -> DataFrame:
 
 
 def read_headerless(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All-string frame with assigned names; the width must match."""
-    lines = _probe(spark, path, 1)
-    for encoding, texts in _decodings(lines):
-        for separator in V.FILE_SEPARATORS:
-            if len(_cells(texts[0], separator)) == len(columns) > 1:
-                raw = _raw(spark, path, len(columns), separator, encoding)
-                return raw.select(*[_decoded(F.col(f"_c{i}"), encoding).alias(c) for i, c in enumerate(columns)])
-    raise ValueError(f"{path}: expected {len(columns)} columns")
+    """All-string frame with assigned names; the width of each file's first line must match.
+
+    Encoding and separator are settled for each file, the encoding on all of its lines.
+    """
+    kinds, first = {}, _first_lines(spark, path)
+    for f in _files(spark, path):
+        encoding = f.encodings[0]
+        fitting = [x for x in V.FILE_SEPARATORS if len(_cells(first[f.file].decode(encoding), x)) == len(columns) > 1]
+        if not fitting:
+            raise ValueError(f"{f.file}: expected {len(columns)} columns")
+        kinds[f.file] = (encoding, fitting[0])
+    parts = [
+        _raw(spark, p, len(columns), separator, encoding).select(*[_decoded(F.col(f"_c{i}"), encoding).alias(c) for i, c in enumerate(columns)])
+        for (encoding, separator), p in _grouped(path, kinds).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

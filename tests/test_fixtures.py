@@ -289,6 +289,29 @@ def test_delimited_log(spark, tmp_path, encoding, sep, title):
         delimited.read_with_header(spark, str(plain), V.INCIDENT_HEADERS, V.INCIDENT_HEADER_ROWS)
 
 
+def test_encoding_of_each_file_is_that_of_all_its_lines(spark, tmp_path):
+    plain = ["telecom", "o", "5", "101", "1", "Moscow", "10.01.2026", "10.01.2026 09:00"]
+    header, width = list(V.INCIDENT_HEADERS), len(V.INCIDENT_HEADERS)
+    bodies = {"a": ("utf-8", "Minsk"), "b c": ("cp1251", "Москва"), "d": ("utf-8", "Уфа"), "e": ("cp1251", "Томск")}
+    for folder in ("bare", "headed"):
+        (tmp_path / folder).mkdir()
+    for name, (encoding, region) in bodies.items():
+        sep = "," if name == "e" else ";"
+        lines = [plain] * 40 + [[region if i == 5 else x for i, x in enumerate(plain)]]
+        (tmp_path / "bare" / f"{name}.csv").write_bytes("\n".join(sep.join(x) for x in lines).encode(encoding))
+        (tmp_path / "headed" / f"{name}.csv").write_bytes("\n".join(";".join(x) for x in [header, *lines]).encode(encoding))
+    want = {"Moscow", "Minsk", "Москва", "Уфа", "Томск"}
+    bare = delimited.read_headerless(spark, str(tmp_path / "bare"), [f"c{i}" for i in range(width)])
+    assert bare.count() == 41 * 4 and {r.c5 for r in bare.collect()} == want
+    headed = delimited.read_with_header(spark, str(tmp_path / "headed"), V.INCIDENT_HEADERS, V.INCIDENT_HEADER_ROWS)
+    assert headed.count() == 41 * 4 and {r[5] for r in headed.collect()} == want
+
+
+def test_a_line_of_undefined_bytes_is_not_cp1251(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("a;b\nпривет;".encode("cp1251") + b"\x98\n")
+    assert [r.encodings for r in delimited._files(spark, str(tmp_path))] == [["latin1"]]
+
+
 def test_sources_and_seeds(spark, tmp_path):
     builtin = tables.builtin_incidents(spark)
     assert [(r.season, r.hour) for r in builtin.orderBy("threat_code").collect()] == [
