@@ -50,20 +50,21 @@ def _match(rule) -> Column:
     return F.struct(
         F.lit(rule.rule_ord).cast("int").alias("rule_ord"),
         F.lit(rule.threat_id).alias("threat_id"),
-        F.lit(float(rule.match_score)).alias("match_score"),
+        F.lit(rule.match_score).cast("double").alias("match_score"),
         F.lit(rule.reason).alias("reason"),
         F.lit(rule.recommendation_method).alias("recommendation_method"),
     )
 
 
 def _best_matches(hits: Column) -> Column:
-    """Last rule wins per threat, at the place of the first; then by score, stable."""
+    """Last rule wins per threat; sorted by score, then the number of the threat's first rule, then its name."""
 
-    def of_threat(threat, pos):
-        last = F.element_at(F.filter(hits, lambda h: h.threat_id == threat), -1)
+    def of_threat(threat):
+        own = F.filter(hits, lambda h: h.threat_id == threat)
+        last = F.element_at(own, -1)
         return F.struct(
             (-last.match_score).alias("by_score"),
-            pos.alias("pos"),
+            F.element_at(own, 1).rule_ord.alias("first_ord"),
             last.threat_id.alias("threat_id"),
             last.match_score.alias("match_score"),
             last.reason.alias("reason"),
@@ -103,17 +104,20 @@ def map_vulnerabilities(
     """``matches`` per vulnerability, by the inline form when the rules fit, else by the prefix join.
 
     Both give the same rows: rules without a threat and null tokens are left out, no rule at all gives
-    empty lists, and rules that share a number stay separate.
+    empty lists, and rules that share a number stay separate, in the order of a hash of their contents.
+    A null score sorts first.
     """
     rules = rules.where("threat_id is not null").withColumn("tokens", F.array_compact(F.coalesce("tokens", F.array().cast("array<string>"))))
     rules = rules.withColumn("rule_ord", F.col("rule_ord").cast("int")).where("rule_ord is not null")
+    contents = F.struct("threat_id", "tokens", "match_score", "reason", "recommendation_method")
+    rules = rules.withColumn("_details", F.xxhash64(F.to_json(contents)))
     if fits_inline(rules):
-        return map_inline(vulnerabilities, rules.collect(), fallback_threat, wildcard_fallback)
+        return map_inline(vulnerabilities, rules.orderBy("rule_ord", "_details").collect(), fallback_threat, wildcard_fallback)
     strategies = rules.where(F.col("threat_id") != fallback_threat)
     own = rules.where(F.col("threat_id") == fallback_threat)
     if wildcard_fallback:
         own = own.where(F.array_contains("tokens", "*"))
-    fallback = own.orderBy("rule_ord").take(1)
+    fallback = own.orderBy("rule_ord", "_details").take(1)
     keyed = vulnerabilities.withColumn("_text", vulnerability_text()).withColumn("_key", F.sha2("_text", 256))
     rows = match_rows(keyed.select("_key", "_text").distinct(), strategies)
     entry = F.struct(
@@ -140,8 +144,7 @@ def match_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
     travel only by key until the check, and equal texts are mapped once. A ``*`` token has the
     empty prefix, which every text carries.
     """
-    details = F.xxhash64("threat_id", "tokens", "match_score", "reason", "recommendation_method")
-    rules = rules.withColumn("rule", F.struct("rule_ord", details.alias("details")))
+    rules = rules.withColumn("rule", F.struct("rule_ord", "_details"))
     tokens = rules.select("rule", F.explode(F.transform("tokens", F.lower)).alias("token")).withColumn(
         "gram", F.when(F.col("token") == "*", "").otherwise(F.substring("token", 1, GRAM))
     )

@@ -177,6 +177,23 @@ def test_last_rule_wins(spark, monkeypatch, limit):
     assert got == {"a": [("TH-005", 0.9), ("TH-001", 0.9)], "b": [("TH-002", 0.4)]}
 
 
+def test_both_forms_have_one_order(spark, monkeypatch):
+    """Rules of one number and threat, equal scores and a null score, in any order of the rows."""
+    rows = [(0, ["malware"], "TH-005", 0.5, r, "malware") for r in "abcdef"] + [(0, ["malware"], "TH-001", 0.5, "g", "malware")]
+    rows += [(1, ["code"], "TH-003", None, "h", "malware")] + [(2, ["*"], "TH-002", 0.4, r, "phishing") for r in "ijk"]
+    vulns = spark.createDataFrame(
+        [("a", "n", "workstation", "CVE-1", "malware", "low", "code"), ("b", "n", "crm", "GEN-2", "nothing", "low", "none")], schema.VULNERABILITIES
+    )
+    got = []
+    for limit in (400, 0):
+        monkeypatch.setattr(vulnmap, "MAX_INLINE_TOKENS", limit)
+        for given in (rows, rows[::-1]):
+            matched = vulnmap.map_vulnerabilities(vulns, spark.createDataFrame(given, schema.RULES).coalesce(1), fallback_threat="TH-002")
+            got.append({r.asset_id: [tuple(m) for m in r.matches] for r in matched.collect()})
+    assert [m[:2] for m in got[0]["a"]] == [("TH-003", None), ("TH-001", 0.5), ("TH-005", 0.5)] and len(got[0]["b"]) == 1
+    assert all(g == got[0] for g in got)
+
+
 @pytest.mark.parametrize("limit", [400, 0])
 def test_odd_rules(spark, monkeypatch, limit):
     """Shared numbers, null tokens and threats, and no rule at all give the same in both forms."""
