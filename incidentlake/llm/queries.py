@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlake.llm import chat, classifier, decontaminate, lm, neardup, packing, repetition, sharding, substring, urls
+from incidentlake.llm import bisector, chat, classifier, decontaminate, langid, lm, neardup, packing, repetition, runs, sharding, substring, urls
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -87,15 +87,71 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("row.doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fifth = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    found = langid.identify(read(spark, sf_dir, "documents"), ["doc_id"], fifth != 0)
+    own = F.pmod(F.crc32(F.col("row.doc_id").cast("string").cast("binary")), F.lit(5))
+    return found.select("row.doc_id", F.coalesce(own == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op12_bisector_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bisector.cluster(read(spark, sf_dir, "embeddings"), ["vec_id"])
+    return found.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draw = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = runs.periodic_runs(read(spark, sf_dir, "documents"), ["doc_id"], loop=draw)
+    exponent = F.expr("1000 * length div period").alias("exponent_milli")
+    return found.select("row.doc_id", "n_runs", "start", "length", "period", exponent, "runs_sha256", "collapsed_sha256")
+
+
 _QUERIES = (
     op1_best_fit_packing, op2_url_filters, op3_minhash_near_dedup, op4_quality_rules, op5_benchmark_decontamination,
     op6_rendezvous_sharding, op7_backoff_scoring, op8_quality_classifier, op9_chat_formatting, op10_substring_dedup,
+    op11_language_id, op12_bisector_clustering, op13_periodic_runs,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _QUERIES}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 
+#: crc32 of the decimal doc_id: eight shifts for each byte
+_CRC_OF_ID = """xor(4294967295, list_reduce(
+                    list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+                    lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+
+def _clustering_sql(k: int = 16, dims: int = 64, rounds: int = 3) -> str:
+    """Rounds of plain nearest centroids over all pairs of vector and centroid."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+        won{r} as materialized (
+            select n, vec_id, v, cluster, distance from (
+                select kept.*, cluster, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) as distance
+                from kept cross join centers{r})
+            qualify row_number() over (partition by n order by distance, cluster) = 1)""")
+        steps.append(f"""
+        centers{r + 1} as materialized (
+            select cluster, coalesce(m, c) as c from centers{r} left join (
+                select cluster, list(((s - ((s % z) + z) % z) // z)::bigint order by i) as m
+                from (select cluster, i, sum(v[i]) as s, count(*) as z from won{r}, range(1, {dims + 1}) t(i) group by 1, 2)
+                group by 1) using (cluster))""")
+    return f"""
+        with kept as materialized (
+            select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v
+            from embeddings
+            where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {dims}),
+        centers0 as materialized (
+            select row_number() over (order by h, v) - 1 as cluster, v as c
+            from (select sha256('1:' || coalesce(vec_id::varchar, '')) as h, v from kept order by h, v limit {k})),{",".join(steps[:-1])}
+        select vec_id, cluster::int as cluster, distance::bigint as distance,
+               (sum(distance) over (partition by cluster))::bigint as cluster_inertia, (sum(distance) over ())::bigint as inertia,
+               sha256(array_to_string(c, ',')) as centroid_sha256
+        from won{rounds} join centers{rounds} using (cluster)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_url_filters": rf"""
         with parts as (
@@ -179,4 +235,36 @@ ORACLES: dict[str, str] = {
             from each anti join gone using (doc_id, k) group by doc_id)
         select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(s, '')) as kept_sha256
         from words left join kept using (doc_id)""",
+    "op12_bisector_clustering": _clustering_sql(),
+    # a run of 12 words or more shares 6 words or more with itself, one period later
+    "op13_periodic_runs": rf"""
+        with plain as (
+            select row_number() over () as r, doc_id, crc, regexp_extract_all(coalesce(text, ''), '{_SPACE_WORDS}') as w
+            from (select *, {_CRC_OF_ID} as crc from documents)),
+        draws as (
+            select *, len(w) as n, case when crc % 10 = 0 and len(w) > 0 then (crc // 10) % len(w) end as a, 3 + (crc // 10) % 8 as m from plain),
+        texts as materialized (
+            select r, doc_id, n, case when a is null then w else
+                list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // m) end]) end as w
+            from draws),
+        sixes as materialized (select r, n, i, array_to_string(w[i + 1:i + 6], ' ') as x from texts, range(0, n - 5) t(i)),
+        pairs as (
+            select a.r, a.i, b.i - a.i as q from sixes a join sixes b on a.r = b.r and a.x = b.x and b.i > a.i and 2 * (b.i - a.i) <= a.n),
+        stretches as (
+            select r, q, min(i) as s, max(i) + 6 + q as e
+            from (select *, i - row_number() over (partition by r, q order by i) as g from pairs) group by r, q, g),
+        runs as materialized (
+            select r, s, e - s as len, min(q) as q from stretches where e - s >= greatest(12, 2 * q) group by r, s, e),
+        gone as (select distinct r, unnest(range(s + q, s + len)) as k from runs),
+        listed as (
+            select r, count(*) as n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as told,
+                   arg_min({{'s': s, 'len': len, 'q': q}}, (-len, s, q)) as best
+            from runs group by r),
+        kept as (
+            select r, string_agg(w[k + 1], ' ' order by k) as body
+            from (select r, w, unnest(range(0, n)) as k from texts) anti join gone using (r, k) group by r)
+        select doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.len::bigint as length, best.q::bigint as period,
+               (1000 * best.len // best.q)::bigint as exponent_milli, sha256(coalesce(told, '')) as runs_sha256,
+               sha256(coalesce(body, '')) as collapsed_sha256
+        from texts left join listed using (r) left join kept using (r)""",
 }
