@@ -322,6 +322,7 @@ THRESHOLD_START, THRESHOLD_STEP, THRESHOLD_COUNT = 0.30, 0.02, 26
 SAVED_THRESHOLD = 0.6400000000000003
 FOLDS = 3
 SEED = 42
+PATIENCE = 50  # rounds without a better validation loss before boosting ends
 BOOSTING = {"iterations": 700, "depth": 6, "learning_rate": 0.08}
 GRID = (
     {"iterations": 400, "depth": 6, "learning_rate": 0.07},

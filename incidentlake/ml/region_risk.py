@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 from datetime import date
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 from incidentlake.functions.numbers import round2
+from incidentlake.ml import boosting
 from incidentlake.operators import metrics as M
 from incidentlake.operators import regionhour as R
-from incidentlake.session import materialized
+from incidentlake.session import concurrently, materialized
 
 # known only after the hour has passed; left out unless asked for
 CURRENT_HOUR = ("incidents_count", "unique_enterprises", "unique_threats", "threat_danger_score")
@@ -30,18 +31,13 @@ def feature_columns(df: DataFrame, include_current: bool = False) -> tuple[list[
     return features, [c for c in V.CATEGORICAL_FEATURES if c in features]
 
 
-def _pipeline(features: list[str], categorical: list[str], params: dict, seed: int, bins: int) -> Pipeline:
+def _encoder(features: list[str], categorical: list[str]) -> Pipeline:
     indexed = [f"{c}_index" for c in categorical]
     numeric = [c for c in features if c not in categorical]
     return Pipeline(
         stages=[
             StringIndexer(inputCols=categorical, outputCols=indexed, handleInvalid="keep"),
             VectorAssembler(inputCols=numeric + indexed, outputCol="features"),
-            GBTClassifier(
-                labelCol="attack_present", weightCol="weight", validationIndicatorCol="validate",
-                maxIter=params["iterations"], maxDepth=params["depth"], stepSize=params["learning_rate"],
-                maxBins=bins, seed=seed,
-            ),
         ]
     )
 
@@ -56,21 +52,18 @@ class RiskModel:
     features: list[str]
     categorical: list[str]
     threshold: float
-    cv: list[dict]
+    cv: list[dict]  # per fold: f1, threshold, precision, recall, auc, trees kept, rounds fitted
+    judged: DataFrame | None = None  # (fold, y, proba) of all validated rows
 
 
-def _fold(df: DataFrame, fold: int) -> DataFrame:
-    """Rows of one fold with ``validate`` and balanced class weights of its training part."""
-    start = F.element_at("fold_starts", fold)
-    rows = df.where((F.col("position") < start) | (F.col("val_fold") == fold)).withColumn(
-        "validate", F.col("val_fold") == fold
-    )
-    part = rows.where(~F.col("validate")).groupBy("attack_present").agg(F.count(F.lit(1)).alias("_n"))
-    total = part.agg(F.sum("_n")).scalar()
-    weights = part.select(F.col("attack_present").alias("_label"), (total / (2 * F.col("_n"))).alias("weight"))
-    return rows.join(weights, F.col("attack_present") == F.col("_label"), "left").withColumn(
-        "weight", F.coalesce("weight", F.lit(1.0))
-    ).drop("_label")
+def _weighted(rows: DataFrame) -> DataFrame:
+    """Balanced class weights: the classes' shares are two counts, so they are literals."""
+    counts = {r.attack_present: r.n for r in rows.groupBy("attack_present").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(counts.values())
+    weight = F.lit(1.0)
+    for label, n in counts.items():
+        weight = F.when(F.col("attack_present") == label, F.lit(total / (2 * n))).otherwise(weight)
+    return rows.withColumn("weight", weight)
 
 
 def _bins(df: DataFrame, categorical: list[str]) -> int:
@@ -78,49 +71,70 @@ def _bins(df: DataFrame, categorical: list[str]) -> int:
     return max(32, *(n + 1 for n in sizes)) if sizes else 32
 
 
-def _fit(df: DataFrame, fold: int, features, categorical, params, seed, bins) -> tuple[PipelineModel, dict]:
-    rows = _fold(df, fold)
-    model = _pipeline(features, categorical, params, seed, bins).fit(rows)
-    judged = with_probability(model.transform(rows.where("validate"))).select(
-        F.col("attack_present").alias("y"), "proba"
-    )
-    best = M.best_threshold(judged).first()
-    threshold, f1 = (best.threshold, best.f1) if best is not None else (0.5, 0.0)
-    row = M.binary_metrics(judged, threshold).first()
-    return model, {
-        "fold": fold, "f1": f1, "threshold": threshold, "precision": row.precision, "recall": row.recall, "auc": row.auc,
-    }
+@dataclass
+class _Table:
+    """Encoded rows that all fits share: one checkpoint, whatever the number of folds and settings."""
+
+    encoder: PipelineModel
+    rows: DataFrame
+    features: list[str]
+    categorical: list[str]
+    bins: int
+
+    @classmethod
+    def of(cls, prepared: DataFrame, include_current: bool) -> _Table:
+        features, categorical = feature_columns(prepared, include_current)
+        encoder = _encoder(features, categorical).fit(prepared)
+        rows = encoder.transform(prepared).select("features", "attack_present", "position", "fold_starts", "val_fold")
+        return cls(encoder, materialized(rows), features, categorical, _bins(prepared, categorical))
+
+    def fit(self, fold: int, params: dict, seed: int, patience: int) -> tuple[PipelineModel, DataFrame, dict]:
+        """(model, its judged rows, trees and rounds) of one fold."""
+        before = self.rows.where(F.col("position") < F.element_at("fold_starts", fold))
+        held = self.rows.where(F.col("val_fold") == fold)
+        boosted = boosting.fit(_weighted(before), held.withColumn("weight", F.lit(1.0)), params, seed, self.bins, patience)
+        judged = with_probability(boosted.model.transform(held)).select(
+            F.lit(fold).alias("fold"), F.col("attack_present").alias("y"), "proba"
+        )
+        return PipelineModel([*self.encoder.stages, boosted.model]), judged, {"trees": boosted.trees, "rounds": len(boosted.losses)}
 
 
 def prepare(features_df: DataFrame, order: str = "time", max_rows_per_region: int | None = None) -> DataFrame:
     """Feature rows with their folds, checkpointed once for the many passes of training."""
     df = features_df if max_rows_per_region is None else R.tail_per_region(features_df, max_rows_per_region)
-    return materialized(R.cv_folds(materialized(df), order=order))
+    return materialized(R.cv_folds(df, order=order))
+
+
+def _metrics(judged: list[DataFrame], by: str) -> tuple[DataFrame, dict]:
+    """All judged rows as one checkpoint, and their metrics by ``by`` from one pass over it."""
+    table = materialized(reduce(DataFrame.unionByName, judged))
+    return table, {r[by]: r.asDict() for r in M.fold_metrics(table, (by,)).collect()}
 
 
 def train(
-    prepared: DataFrame, params: dict | None = None, include_current: bool = False, folds=range(1, V.FOLDS + 1)
+    prepared: DataFrame, params: dict | None = None, include_current: bool = False, folds=range(1, V.FOLDS + 1),
+    patience: int = V.PATIENCE,
 ) -> RiskModel:
-    """Three expanding folds; the model and threshold of the fold with the best F1 are kept."""
-    features, categorical = feature_columns(prepared, include_current)
-    bins = _bins(prepared, categorical)
-    best, cv = None, []
-    for fold in folds:
-        model, row = _fit(prepared, fold, features, categorical, params or V.BOOSTING, V.SEED + fold, bins)
-        cv.append(row)
-        if best is None or row["f1"] > best[1]["f1"]:
-            best = (model, row)
-    return RiskModel(best[0], features, categorical, best[1]["threshold"], cv)
-
-
-def grid_search(prepared: DataFrame, grid=V.GRID, fold: int = V.FOLDS, include_current: bool = False) -> list[dict]:
-    """Every parameter set fitted on one fold, best F1 first."""
-    features, categorical = feature_columns(prepared, include_current)
-    bins = _bins(prepared, categorical)
-    rows = []
-    for params in grid:
-        _, row = _fit(prepared, fold, features, categorical, params, V.SEED, bins)
-        rows.append({**params, **row})
+    """Three expanding folds, fitted side by side; the model and threshold of the fold with the best F1 are kept."""
+    table = _Table.of(prepared, include_current)
+    folds = list(folds)
+    fits = concurrently(
+        prepared.sparkSession, [partial(table.fit, fold, params or V.BOOSTING, V.SEED + fold, patience) for fold in folds]
+    )
+    judged, metrics = _metrics([f[1] for f in fits], "fold")
+    cv = [{**metrics[fold], **kept} for fold, (_, _, kept) in zip(folds, fits)]
+    best = max(range(len(cv)), key=lambda i: (cv[i]["f1"], -i))
+    return RiskModel(fits[best][0], table.features, table.categorical, cv[best]["threshold"], cv, judged)
+
+
+def grid_search(
+    prepared: DataFrame, grid=V.GRID, fold: int = V.FOLDS, include_current: bool = False, patience: int = V.PATIENCE
+) -> list[dict]:
+    """Every parameter set fitted on one fold, side by side on one table; best F1 first."""
+    table = _Table.of(prepared, include_current)
+    fits = concurrently(prepared.sparkSession, [partial(table.fit, fold, params, V.SEED, patience) for params in grid])
+    _, metrics = _metrics([f[1].withColumn("setting", F.lit(i)) for i, f in enumerate(fits)], "setting")
+    rows = [{**params, "fold": fold, **metrics[i], **fits[i][2]} for i, params in enumerate(grid)]
     return sorted(rows, key=lambda r: -r["f1"])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incidentlake.ml import clustering as C
 from incidentlake.ml import density, forest, region_risk
+from incidentlake.operators import metrics as M
 from incidentlake.operators import regionhour as R
 from incidentlake.operators import scoring, stats
 from incidentlake.plans.base import VIEW_SQL, Domain, oracle, query
@@ -152,6 +153,48 @@ def _(d):
     return density.density_cluster(materialized(flat), ["x", "y"], 0.3, 5, "incident_id")
 
 
+EPS_VALUES, LEAST_VALUES = (0.02, 0.05, 0.21), (3, 6, 10)
+_reached_sql = """
+with recursive pts as materialized (select p_partkey as id, p_retailprice / 100 as x, p_size / 5.0::double as y from part)
+, grid as (select e.eps, m.m from (values (0.02::double), (0.05::double), (0.21::double)) e(eps), (values (3), (6), (10)) m(m))
+, near as materialized (
+    select a.id as a, b.id as b, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2
+    from pts a join pts b on abs(a.x - b.x) <= 0.21 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.21::double * 0.21::double)
+, core as materialized (select eps, m, a from near join grid on d2 <= eps * eps group by eps, m, a having count(*) >= any_value(m))
+, links as materialized (
+    select c.eps, c.m, n.a, n.b from near n join core c on c.a = n.a and n.d2 <= c.eps * c.eps
+    join core e on e.a = n.b and e.eps = c.eps and e.m = c.m)
+, labels(eps, m, a, label) using key (eps, m, a) as (
+    select eps, m, a, a from core
+    union
+    select x.eps, x.m, x.a, min(y.label) from recurring.labels x join links l on l.a = x.a and l.eps = x.eps and l.m = x.m
+      join labels y on y.a = l.b and y.eps = x.eps and y.m = x.m group by x.eps, x.m, x.a, x.label having min(y.label) < x.label)
+, border as (
+    select g.eps, g.m, n.a, min(l.label) as label from near n join grid g on n.d2 <= g.eps * g.eps
+    join labels l on l.a = n.b and l.eps = g.eps and l.m = g.m group by 1, 2, 3)
+, marked as (select g.eps, g.m, p.id, coalesce(c.label, b.label, -1) as cluster from grid g cross join pts p
+    left join labels c on c.a = p.id and c.eps = g.eps and c.m = g.m left join border b on b.a = p.id and b.eps = g.eps and b.m = g.m)
+, sizes as (select eps, m, cluster, count(*) as n from marked group by 1, 2, 3)
+"""
+
+
+def _flat_parts(d: Domain):
+    return d.table("part").select("p_partkey", (F.col("p_retailprice") / 100).alias("x"), (F.col("p_size") / F.lit(5.0)).alias("y"))
+
+
+@query("density_sweep", _reached_sql + """
+select eps, m as min_samples, count(*) filter (where cluster >= 0) as clusters,
+       coalesce(sum(n) filter (where cluster = -1), 0)::bigint as noise, coalesce(max(n) filter (where cluster >= 0), 0)::bigint as largest
+from sizes group by 1, 2""")
+def _(d):
+    return density.density_sweep(_flat_parts(d), ["x", "y"], "p_partkey", EPS_VALUES, LEAST_VALUES)
+
+
+@query("density_parts", _reached_sql + "select id as p_partkey, cluster from marked where eps = 0.05 and m = 6")
+def _(d):
+    return density.density_cluster(_flat_parts(d), ["x", "y"], 0.05, 6, "p_partkey").select("p_partkey", "cluster")
+
+
 @query("method_training_set", oracle("enriched", """
 select incident_id, organization_code, region, industry, season, day_of_week, hour,
        case when target_object in ('vpn_gateway', 'web_portal', 'mail_gateway') then 'True' else 'False' end as has_external_access,
@@ -183,49 +226,107 @@ def _prepared(d: Domain):
     return region_risk.prepare(R.features(grid(d)))
 
 
+_METRICS = "f1 double, threshold double, precision double, recall double, auc double, trees int, rounds int"
+
+
+def _metric_rows(d: Domain, rows: list[dict], ddl: str):
+    names = [c.split(" ")[0] for c in ddl.split(", ")]
+    return local_table(d.spark, [tuple(r[c] for c in names) for r in rows], ddl)
+
+
+_TRAINED: dict[tuple[str, str], region_risk.RiskModel] = {}
+
+
+def _trained(d: Domain) -> region_risk.RiskModel:
+    """The model of these tables, trained once in a session: the queries that score share it."""
+    key = (d.spark.sparkContext.applicationId, d.sf_dir)
+    if key not in _TRAINED:
+        _TRAINED[key] = region_risk.train(_prepared(d))
+    return _TRAINED[key]
+
+
 @query("train_region_risk")
 def _(d):
-    model = region_risk.train(_prepared(d))
-    rows = [tuple(r.values()) for r in model.cv]
-    return local_table(d.spark, rows, "fold int, f1 double, threshold double, precision double, recall double, auc double")
+    return _metric_rows(d, _trained(d).cv, f"fold int, {_METRICS}")
+
+
+@query("train_summary")
+def _(d):
+    model = _trained(d)
+    folds = _metric_rows(d, model.cv, f"fold int, {_METRICS}")
+    return M.cv_summary(folds, grid(d).select(F.col("attack_present").alias("y")), len(model.features))
+
+
+_FOLDED_SCORES = """
+, folded as (select id % 3 + 1 as fold, y, proba from scored)
+, points as (select fold, proba, sum(y) as pos, sum(1 - y) as neg from folded group by 1, 2)
+, swept as (select fold, i, t, sum(pos) filter (where proba >= t) as tp, sum(neg) filter (where proba >= t) as fp, sum(pos) filter (where proba < t) as fn
+            from points, (values {values}) v(i, t) group by 1, 2, 3)
+, best as (select fold, arg_min(t, (-2.0::double * tp / (2 * tp + fp + fn), i)) as threshold from
+             (select fold, i, t, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn from swept) group by 1)
+, judged as (select fold, threshold, count(*) filter (where y = 1 and proba >= threshold) as tp, count(*) filter (where y = 0 and proba >= threshold) as fp,
+                    count(*) filter (where y = 1 and proba < threshold) as fn from folded join best using (fold) group by 1, 2)
+, ranks as (select fold, (sum(r) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2.0::double)
+                   / (count(*) filter (where y = 1)::double * count(*) filter (where y = 0)) as auc
+            from (select fold, y, rank() over (partition by fold order by proba) + (count(*) over (partition by fold, proba) - 1) / 2.0::double as r from folded)
+            group by 1)
+, fold_rows as (select fold, threshold, 2.0::double * tp / (2 * tp + fp + fn) as f1, tp::double / (tp + fp) as precision, tp::double / (tp + fn) as recall, auc
+                from judged join ranks using (fold))
+""".format(values=", ".join(f"({i}, {t!r}::double)" for i, t in enumerate(M.thresholds())))
+
+
+def _folded_scores(d: Domain):
+    return d.scored.select((F.col("id") % 3 + 1).alias("fold"), "y", "proba")
+
+
+@query("cv_metrics", oracle("scored", _FOLDED_SCORES + """
+select fold, threshold, round(f1, 9) as f1, round(precision, 9) as precision, round(recall, 9) as recall, round(auc, 9) as auc from fold_rows"""))
+def _(d):
+    rows = M.fold_metrics(_folded_scores(d))
+    return rows.select("fold", "threshold", *[F.round(c, 9).alias(c) for c in M.SUMMED])
+
+
+@query("cv_summary", oracle("scored", _FOLDED_SCORES + """
+select count(*) as folds, (select count(*) from folded) as train_rows, (select round(avg(y), 9) from folded) as prevalence, 6 as feature_count,
+       """ + ", ".join(f"round(avg({c}), 9) as mean_{c}, round(stddev_samp({c}), 9) as std_{c}" for c in M.SUMMED) + """
+from fold_rows"""))
+def _(d):
+    scores = _folded_scores(d)
+    df = M.cv_summary(M.fold_metrics(scores), scores, 6)
+    return df.select("folds", "train_rows", "feature_count", *[F.round(c, 9).alias(c) for c in df.columns if c.startswith(("mean_", "std_", "prev"))])
 
 
 @query("grid_search")
 def _(d):
-    rows = [tuple(r.values()) for r in region_risk.grid_search(_prepared(d))]
-    return local_table(
-        d.spark, rows,
-        "iterations int, depth int, learning_rate double, fold int, f1 double, threshold double, precision double, "
-        "recall double, auc double",
-    )
+    return _metric_rows(d, region_risk.grid_search(_prepared(d)), f"iterations int, depth int, learning_rate double, fold int, {_METRICS}")
 
 
 @query("model_roundtrip")
 def _(d):
-    prepared = _prepared(d)
-    model = region_risk.train(prepared)
+    model = _trained(d)
     path = scratch(d, "region-risk")
     region_risk.save(model, d.spark, path)
     again = region_risk.load(d.spark, path)
-    return region_risk.score_rows(again, prepared).select("region", "time_hour", "proba", "decision")
+    return region_risk.score_rows(again, R.features(grid(d))).select("region", "time_hour", "proba", "decision")
+
+
+def _recent_grid(d: Domain):
+    """The grid that scoring looks back on: incidents of the last 90 days before the newest one."""
+    return R.build(stats.lookback(model_rows(d)))
 
 
 @query("score_region_hours")
 def _(d):
-    table = grid(d)
-    model = region_risk.train(region_risk.prepare(R.features(table)))
-    return region_risk.score_region_hours(model, table, forecast_targets(d))
+    return region_risk.score_region_hours(_trained(d), _recent_grid(d), forecast_targets(d))
 
 
 @query("predict_ml_temporal")
 def _(d):
-    table = grid(d)
-    model = region_risk.train(region_risk.prepare(R.features(table)))
     fallback = scoring.method_target_fallback(
         d.requests,
         stats.grain(d.incidents, d.registry, by=("organization_code",)),
         stats.grain(d.incidents, d.registry),
     )
-    ml = region_risk.predict_requests(model, d.requests, table, fallback, AS_OF.date())
+    ml = region_risk.predict_requests(_trained(d), d.requests, _recent_grid(d), fallback, AS_OF.date())
     df = scoring.predict(d.requests, d.incidents, tables.recommendations_table(d.spark), AS_OF, ml)
     return df.select("request_id", "prefer_ml", "predicted_attack_method", "predicted_target_object", "confidence", "risk_score")

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -20,6 +24,7 @@ def local_session(cpus: int | str = 8, app: str = "incidentlake", **conf: str) -
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
+        .config("spark.scheduler.mode", "FAIR")
         # small test tables would otherwise be merged into one or two tasks
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
@@ -59,3 +64,19 @@ def materialized(df: DataFrame) -> DataFrame:
     """Checkpoint of a frame that many passes read; it survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def concurrently(spark: SparkSession, jobs: list[Callable], most: int = 4) -> list:
+    """Results of independent jobs, in their order, at most ``most`` of them under way at a time.
+
+    Each runs in a scheduler pool of its own, so with ``spark.scheduler.mode`` FAIR they share the
+    cores evenly; otherwise the later ones take what the earlier ones leave free.
+    """
+
+    def pooled(i: int, job: Callable):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"side-{i % most}")
+        return job()
+
+    with ThreadPoolExecutor(max(1, min(most, len(jobs)))) as pool:
+        tasks = [pool.submit(inheritable_thread_target(spark)(partial(pooled, i, job))) for i, job in enumerate(jobs)]
+        return [task.result() for task in tasks]

@@ -1,15 +1,25 @@
 """Clustering against brute force, and small fits of the models."""
 
 import random
+import statistics
+import threading
+import time
+from collections import Counter
+from functools import partial
 from math import dist
 
 import pytest
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 from incidentlake.functions.numbers import round2
-from incidentlake.ml import density, forest, region_risk
+from incidentlake.ml import boosting, density, forest, region_risk
+from incidentlake.operators import metrics
 from incidentlake.operators import regionhour as R
+from incidentlake.session import concurrently, materialized
 
 
 def brute_dbscan(points, eps, min_samples):
@@ -43,6 +53,31 @@ def test_density_matches_brute_force(spark, dims, seed, eps, min_samples):
     assert got == brute_dbscan(points, eps, min_samples)
 
 
+def test_density_of_a_full_cell_and_odd_points(spark):
+    """Most points in one cell, thin points around it, unknown coordinates, and a grid of settings at once."""
+    rng = random.Random(11)
+    points = [(round(rng.uniform(0, 0.2), 3), round(rng.uniform(0, 0.2), 3)) for _ in range(500)]
+    points += [(round(rng.uniform(-1, 1.4), 2), round(rng.uniform(-1, 1.4), 2)) for _ in range(40)]
+    odd = [(None, 0.1), (0.1, None), (float("nan"), 0.0)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points + odd)], "id bigint, a double, b double")
+    got = {r.id: r.cluster for r in density.density_cluster(df, ["a", "b"], 0.3, 7, "id").collect()}
+    assert got == {**brute_dbscan(points, 0.3, 7), 540: -1, 541: -1, 542: -1}
+    rows = density.density_sweep(df, ["a", "b"], "id", [0.1, 0.25, 0.4], [3, 8]).collect()
+    assert len(rows) == 6
+    for r in rows:
+        labels = Counter(brute_dbscan(points, r.eps, r.min_samples).values())
+        noise = labels.pop(-1, 0)
+        assert (r.clusters, r.noise, r.largest) == (len(labels), noise, max(labels.values(), default=0))
+
+
+def test_settings_of_a_grid_keep_their_labels_apart(spark):
+    """A chain that is one cluster under a wide setting and many under a narrow one."""
+    points = [(0.5 * (i // 4) + 0.01 * (i % 4), 0.0) for i in range(80)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "id bigint, a double, b double").repartition(3)
+    rows = {r.eps: r for r in density.density_sweep(df, ["a", "b"], "id", [0.1, 0.6], [3]).collect()}
+    assert (rows[0.1].clusters, rows[0.1].largest, rows[0.6].clusters, rows[0.6].largest) == (20, 4, 1, 80)
+
+
 def test_components_of_a_long_chain(spark):
     n = 60
     nodes = spark.range(n).select(F.col("id").cast("string").alias("node"), "id").withColumnRenamed("id", "label")
@@ -101,3 +136,89 @@ def test_organizations_keep_their_own_history(spark):
     got = {r.organization_code: r.attack_method_0_share for r in forest.with_history(asked, history, overall).collect()}
     common = (1500 + 9) / 3010
     assert got == {"org7": 1.0, "org8": 0.0, "few": pytest.approx(common), "new": pytest.approx(common), None: pytest.approx(common)}
+
+
+# boosting with patience
+
+
+def test_best_prefix_waits_for_patience():
+    falling = [1.0 / (i + 1) for i in range(30)]
+    assert boosting.best_prefix(falling, 5) == (30, False)
+    assert boosting.best_prefix([3.0, 2.0, 2.5, 2.4, 2.3, 1.0], 3) == (2, True)
+    assert boosting.best_prefix([3.0, 2.0, 2.5, 2.4, 1.9, 1.95], 3) == (5, False)
+    assert boosting.best_prefix([2.0, 2.0, 2.0], 2) == (1, True) and boosting.best_prefix([1.0], 50) == (1, False)
+
+
+@pytest.fixture(scope="module")
+def noisy(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.random(), rng.random(), rng.random()) for i in range(3000)]
+    rows = [(i, a, b, c, int(rng.random() < 0.15 + 0.7 * ((a > 0.5) != (b > 0.4)))) for i, a, b, c in rows]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, c double, attack_present int").repartition(2, "id")
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df).withColumn("weight", F.lit(1.0))
+    return materialized(df)
+
+
+def test_boosting_keeps_the_best_prefix(spark, noisy):
+    train, held = noisy.where("id % 3 > 0"), noisy.where("id % 3 = 0")
+    params = {"iterations": 60, "depth": 3, "learning_rate": 0.4}
+    boosted = boosting.fit(train, held, params, 7, 32, patience=6)
+    best = min(range(len(boosted.losses)), key=lambda i: boosted.losses[i]) + 1
+    assert boosted.trees == best and 3 < best < 60 and len(boosted.losses) == best + 6
+    # the same trees as of a fit of just so many rounds, and the loss that was promised
+    plain = GBTClassifier(labelCol="attack_present", weightCol="weight", maxIter=best, maxDepth=3, stepSize=0.4, maxBins=32, seed=7).fit(train)
+    assert boosted.model.treeWeights == plain.treeWeights and boosted.model.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1]
+    assert boosted.model.evaluateEachIteration(held)[-1] == pytest.approx(boosted.losses[best - 1])
+    # where every round helps, all rounds allowed are kept
+    assert boosting.fit(train, train, params | {"iterations": 9}, 7, 32, patience=3).trees == 9
+
+
+def test_grid_and_folds_run_side_by_side(spark):
+    started, most, lock = [], [], threading.Lock()
+
+    def job(i):
+        with lock:
+            started.append(i)
+            most.append(len(started))
+        spark.range(50_000).selectExpr("max(sha2(string(id), 256))").collect()
+        time.sleep(0.3)
+        with lock:
+            started.remove(i)
+        return i, spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+
+    got = concurrently(spark, [partial(job, i) for i in range(4)])
+    assert [g[0] for g in got] == [0, 1, 2, 3] and max(most) > 1 and len({g[1] for g in got}) == 4
+    assert concurrently(spark, []) == []
+
+
+def test_scores_take_missing_features_as_zero(spark, noisy):
+    fitted = boosting.fit(noisy, noisy, {"iterations": 3, "depth": 2, "learning_rate": 0.3}, 1, 32)
+    assembler = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features")
+    model = region_risk.RiskModel(PipelineModel([assembler, fitted.model]), ["a", "b", "c"], [], 0.5, [])
+    rows = noisy.select("id", "a", "b")
+    got = region_risk.score_rows(model, rows).orderBy("id").select("proba", "decision").collect()
+    assert got == region_risk.score_rows(model, rows.withColumn("c", F.lit(0))).orderBy("id").select("proba", "decision").collect()
+    assert all(r.decision == int(r.proba >= 0.5) for r in got) and {r.decision for r in got} == {0, 1}
+
+
+def test_metrics_of_folds_on_any_partitioning(spark):
+    rng = random.Random(9)
+    rows = [(f, int(rng.random() < s), round(s, 2)) for f in (1, 2, 3) for s in [rng.random() for _ in range(400)]] + [(1, 1, None), (2, None, 0.4)]
+    df = spark.createDataFrame(rows, "fold int, y int, proba double").repartition(7)
+    got = {r.fold: r for r in metrics.fold_metrics(df).collect()}
+    for fold in (1, 2, 3):
+        own = [(y, p) for f, y, p in rows if f == fold and y is not None and p is not None]
+
+        def f1(t):
+            tp, fp, fn = (sum(1 for y, p in own if y == a and (p >= t) == b) for a, b in ((1, True), (0, True), (1, False)))
+            return 2 * tp / (2 * tp + fp + fn), tp / (tp + fp), tp / (tp + fn)
+
+        best = max(metrics.thresholds(), key=lambda t: (f1(t)[0], -t))
+        won = sum((p > q) + (p == q) / 2 for y, p in own if y for z, q in own if not z)
+        area = won / (sum(y for y, _ in own) * sum(1 - y for y, _ in own))
+        assert got[fold].threshold == best and got[fold].auc == pytest.approx(area)
+        assert (got[fold].f1, got[fold].precision, got[fold].recall) == pytest.approx(f1(best))
+    summary = metrics.cv_summary(metrics.fold_metrics(df), df.select("y"), 4).first()
+    f1s = [got[f].f1 for f in (1, 2, 3)]
+    assert (summary.folds, summary.train_rows, summary.feature_count) == (3, len(rows), 4)
+    assert summary.mean_f1 == pytest.approx(statistics.mean(f1s)) and summary.std_f1 == pytest.approx(statistics.stdev(f1s))
