@@ -1,7 +1,8 @@
 """Vulnerability to threat mapping by token rules.
 
-Small rule sets become one codegen'd expression per row: no join, no shuffle. Larger
-ones go through an equi-join on token prefixes, which finds the same matches.
+Texts and rules meet in an equi-join, whatever their number: every token is filed under the rarest of its
+three-character pieces, counted over all texts, and a text looks up only the pieces it has. The few
+candidates are then checked in full. Pieces and tokens that many texts share are spread over tasks.
 """
 
 from __future__ import annotations
@@ -10,165 +11,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
+from incidentlake.operators.skew import hot_values, spread_join
+from incidentlake.session import materialized
 
-MAX_INLINE_TOKENS = 400
 GRAM = 3
-MATCH = "threat_id: string, match_score: double, reason: string, recommendation_method: string"
 
 
 def vulnerability_text() -> Column:
     return F.lower(F.concat_ws(" ", "asset_type", "vulnerability_code", "title", "description"))
 
 
-def fits_inline(rules: DataFrame) -> bool:
-    """Size check on the driver: reads at most one token more than the bound."""
-    tokens = rules.select(F.explode_outer("tokens"))
-    return tokens.limit(MAX_INLINE_TOKENS + 1).count() <= MAX_INLINE_TOKENS
-
-
-def split_rules(rules: list, fallback_threat: str, wildcard_fallback: bool):
-    """Strategies are the rules of other threats; the fallback is the first rule of its own.
-
-    With ``wildcard_fallback`` the fallback is that threat's rule with a ``*`` token.
-    """
-    ordered = sorted(rules, key=lambda r: r.rule_ord)
-    own = [r for r in ordered if r.threat_id == fallback_threat]
-    if wildcard_fallback:
-        own = [r for r in own if "*" in r.tokens]
-    return [r for r in ordered if r.threat_id != fallback_threat], (own[0] if own else None)
-
-
-def _hit(text: Column, rule) -> Column:
-    found = F.lit("*" in rule.tokens)
-    for token in rule.tokens:
+def _hit(text: Column, tokens: list[str]) -> Column:
+    found = F.lit("*" in tokens)
+    for token in tokens:
         if token != "*":
             found = found | F.contains(text, F.lit(token.lower()))
     return found
 
 
-def _match(rule) -> Column:
-    return F.struct(
-        F.lit(rule.rule_ord).cast("int").alias("rule_ord"),
-        F.lit(rule.threat_id).alias("threat_id"),
-        F.lit(rule.match_score).cast("double").alias("match_score"),
-        F.lit(rule.reason).alias("reason"),
-        F.lit(rule.recommendation_method).alias("recommendation_method"),
-    )
-
-
-def _best_matches(hits: Column) -> Column:
-    """Last rule wins per threat; sorted by score, then the number of the threat's first rule, then its name."""
-
-    def of_threat(threat):
-        own = F.filter(hits, lambda h: h.threat_id == threat)
-        last = F.element_at(own, -1)
-        return F.struct(
-            (-last.match_score).alias("by_score"),
-            F.element_at(own, 1).rule_ord.alias("first_ord"),
-            last.threat_id.alias("threat_id"),
-            last.match_score.alias("match_score"),
-            last.reason.alias("reason"),
-            last.recommendation_method.alias("recommendation_method"),
-        )
-
-    threats = F.array_distinct(F.transform(hits, lambda h: h.threat_id))
-    ranked = F.sort_array(F.transform(threats, of_threat))
-    return F.transform(
-        ranked, lambda m: F.struct(m.threat_id, m.match_score, m.reason, m.recommendation_method)
-    )
-
-
-def map_inline(
-    vulnerabilities: DataFrame, rules: list, fallback_threat: str | None = V.FALLBACK_THREAT, wildcard_fallback=False
-) -> DataFrame:
-    """Add ``matches``, the ordered list of (threat, score, reason, method) per vulnerability."""
-    strategies, fallback = split_rules(rules, fallback_threat, wildcard_fallback)
-    return map_with(vulnerabilities, strategies, fallback)
-
-
-def map_with(vulnerabilities: DataFrame, strategies: list, fallback=None) -> DataFrame:
-    """``matches`` from explicit strategy rules and one optional fallback rule."""
-    text = F.col("_text")
-    none = F.array().cast(f"array<struct<rule_ord: int, {MATCH}>>")
-    hits = F.array_compact(F.array(*[F.when(_hit(text, r), _match(r)) for r in strategies])) if strategies else none
-    df = vulnerabilities.withColumn("_text", vulnerability_text()).withColumn("_hits", hits)
-    if fallback is not None:
-        spare = F.when(_hit(text, fallback), F.array(_match(fallback))).otherwise(none)
-        df = df.withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(spare))
-    return df.withColumn("matches", _best_matches(F.col("_hits"))).drop("_text", "_hits")
-
-
 def map_vulnerabilities(
-    vulnerabilities: DataFrame, rules: DataFrame, fallback_threat: str = V.FALLBACK_THREAT, wildcard_fallback=False
+    vulnerabilities: DataFrame, rules: DataFrame, fallback_threat: str | None = V.FALLBACK_THREAT, wildcard_fallback=False
 ) -> DataFrame:
-    """``matches`` per vulnerability, by the inline form when the rules fit, else by the prefix join.
+    """Add ``matches``, the ordered list of (threat, score, reason, method) per vulnerability.
 
-    Both give the same rows: rules without a threat and null tokens are left out, no rule at all gives
-    empty lists, and rules that share a number stay separate, in the order of a hash of their contents.
-    A null score sorts first.
+    Strategies are the rules of other threats than ``fallback_threat``; where none hits, the first rule of that
+    threat is tried (with ``wildcard_fallback`` its first rule with a ``*`` token). Per threat the last rule
+    that hits wins; threats are ordered by score, then the number of their first rule that hits, then name. Rules
+    without a threat or number and null tokens are left out, no rule at all gives empty lists, and rules that share a
+    number are ordered by a hash of their contents. A null score sorts first.
     """
     rules = rules.where("threat_id is not null").withColumn("tokens", F.array_compact(F.coalesce("tokens", F.array().cast("array<string>"))))
     rules = rules.withColumn("rule_ord", F.col("rule_ord").cast("int")).where("rule_ord is not null")
     contents = F.struct("threat_id", "tokens", "match_score", "reason", "recommendation_method")
     rules = rules.withColumn("_details", F.xxhash64(F.to_json(contents)))
-    if fits_inline(rules):
-        return map_inline(vulnerabilities, rules.orderBy("rule_ord", "_details").collect(), fallback_threat, wildcard_fallback)
-    strategies = rules.where(F.col("threat_id") != fallback_threat)
-    own = rules.where(F.col("threat_id") == fallback_threat)
+    own = rules.where(F.col("threat_id") == F.lit(fallback_threat))
     if wildcard_fallback:
         own = own.where(F.array_contains("tokens", "*"))
     fallback = own.orderBy("rule_ord", "_details").take(1)
-    keyed = vulnerabilities.withColumn("_text", vulnerability_text()).withColumn("_key", F.sha2("_text", 256))
-    rows = match_rows(keyed.select("_key", "_text").distinct(), strategies)
-    entry = F.struct(
-        (-F.col("match_score")).alias("by_score"), "first_ord", "threat_id", "match_score", "reason",
-        "recommendation_method",
-    )
+    keyed = vulnerabilities.withColumn("_text", vulnerability_text()).withColumn("_key", F.unhex(F.sha2("_text", 256)))
+    rows = match_rows(keyed.select("_key", "_text").distinct(), rules.where(~F.col("threat_id").eqNullSafe(F.lit(fallback_threat))))
+    found = F.struct("threat_id", "match_score", "reason", "recommendation_method")
+    entry = F.struct((-F.col("match_score")).alias("by_score"), "first_ord", F.col("threat_id").alias("by_name"), found.alias("found"))
     lists = rows.groupBy("_key").agg(F.sort_array(F.collect_list(entry)).alias("_ranked"))
-    df = keyed.join(lists, "_key", "left").withColumn(
-        "matches",
-        F.transform("_ranked", lambda m: F.struct(m.threat_id, m.match_score, m.reason, m.recommendation_method)),
-    )
+    df = keyed.join(lists, "_key", "left").withColumn("matches", F.col("_ranked.found"))
     for rule in fallback:
-        spare = F.filter(F.array(_match(rule).dropFields("rule_ord")), lambda _: _hit(F.col("_text"), rule))
-        df = df.withColumn("matches", F.coalesce("matches", spare))
+        spare = F.array(
+            F.struct(
+                F.lit(rule.threat_id).alias("threat_id"), F.lit(rule.match_score).cast("double").alias("match_score"),
+                F.lit(rule.reason).alias("reason"), F.lit(rule.recommendation_method).alias("recommendation_method"),
+            )
+        )
+        df = df.withColumn("matches", F.coalesce("matches", F.when(_hit(F.col("_text"), rule.tokens), spare)))
     empty = F.array().cast(df.schema["matches"].dataType)
     return df.withColumn("matches", F.coalesce("matches", empty)).drop("_text", "_key", "_ranked")
 
 
+def _pieces(text: Column, sizes: list[int]) -> Column:
+    """Distinct pieces of a text of the given lengths; the empty one for length 0."""
+    parts = [F.array(F.lit("")) if n == 0 else F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    return F.array_distinct(F.concat(*parts))
+
+
 def match_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(_key, threat_id, match_score, reason, recommendation_method, first_ord) for large rule sets.
+    """(_key, threat_id, match_score, reason, recommendation_method, first_ord): the rule that wins per text and threat.
 
-    A token can only occur in a text that contains its first three characters, so texts and
-    tokens meet in an equi-join on those; the few candidates are then checked in full. Texts
-    travel only by key until the check, and equal texts are mapped once. A ``*`` token has the
-    empty prefix, which every text carries.
+    A token can only occur in a text that contains all of its pieces, so it waits under the piece that the
+    fewest texts have; a token with a piece that no text has is dropped. Shorter tokens are their own piece,
+    and a ``*`` is the empty token, which every text contains. Texts travel by key until the check in full.
     """
     rules = rules.withColumn("rule", F.struct("rule_ord", "_details"))
-    tokens = rules.select("rule", F.explode(F.transform("tokens", F.lower)).alias("token")).withColumn(
-        "gram", F.when(F.col("token") == "*", "").otherwise(F.substring("token", 1, GRAM))
-    )
-    lengths = sorted(r[0] for r in tokens.select(F.length("gram")).distinct().collect())
-
-    def grams(size: int) -> Column:
-        if size == 0:
-            return F.array(F.lit(""))
-        return F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
-
-    pieces = F.array_distinct(F.concat(*[grams(size) for size in lengths])) if lengths else F.array()
-    heads = texts.select("_key", F.explode(pieces).alias("gram"))
-    candidates = heads.join(tokens, "gram").select("_key", "rule", "token")
-    hits = (
-        candidates.join(texts, "_key")
-        .where((F.col("token") == "*") | F.contains("_text", F.col("token")))
-        .select("_key", "rule")
-        .distinct()
-        .join(rules.drop("tokens").distinct(), "rule")
-    )
+    said = rules.select("rule", F.explode("tokens").alias("said"))
+    listed = materialized(said.select("rule", F.when(F.col("said") == "*", "").otherwise(F.lower("said")).alias("token")).distinct())
+    tokens = listed.select("token").distinct().withColumn("size", F.least(F.length("token"), F.lit(GRAM)))
+    sizes = sorted(r[0] for r in tokens.select("size").distinct().collect())
+    of_token = F.array(F.lit(""))
+    for n in (x for x in sizes if x):
+        of_token = F.when(F.col("size") == n, _pieces(F.col("token"), [n])).otherwise(of_token)
+    filed = tokens.select("token", F.explode(of_token).alias("piece"))
+    heads = texts.select("_key", F.explode(_pieces(F.col("_text"), sizes) if sizes else F.array().cast("array<string>")).alias("piece"))
+    counts = materialized(heads.join(filed.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
+    # no count: no text has the piece; nulls come first here, so such a token is filed nowhere
+    ranked = filed.join(counts, "piece", "left").groupBy("token").agg(F.min(F.struct("n", "piece")).alias("least"))
+    waiting = materialized(ranked.where("least.n is not null").select("token", F.col("least.piece").alias("piece")))
+    used = counts.join(waiting.select("piece").distinct(), "piece", "left_semi")
+    candidates = spread_join(heads, waiting, "piece", "_key", hot_values(used, "piece")).select("_key", "token")
+    hits = materialized(candidates.join(texts, "_key").where(F.contains("_text", F.col("token"))).select("_key", "token"))
+    busy = hot_values(hits.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
     found = F.struct("threat_id", "match_score", "reason", "recommendation_method")
+    details = listed.join(rules.select("rule", "rule_ord", "threat_id", found.alias("found")).distinct(), "rule")
     return (
-        hits.groupBy("_key", "threat_id")
-        .agg(F.max_by(found, "rule").alias("found"), F.min("rule_ord").alias("first_ord"))
+        spread_join(hits, details, "token", "_key", busy)
+        .groupBy("_key", "threat_id")
+        .agg(F.max_by("found", "rule").alias("found"), F.min("rule_ord").alias("first_ord"))
         .select("_key", "found.*", "first_ord")
     )
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 from incidentlake.operators import quality, vulnmap
+from incidentlake.operators.skew import numbered
 from incidentlake.plans.base import VIEW_SQL, Domain, oracle, query, quoted
 from incidentlake.sources import tables
 
@@ -72,10 +72,13 @@ def _(d):
     return vulnmap.audit_rows(vulnmap.map_vulnerabilities(d.vulnerabilities, tables.rules_table(d.spark)))
 
 
-VIEW_SQL["word_rules"] = ((), """
+VIEW_SQL["said"] = ((), "select string_split(lower(text), ' ') as w from benchmark")
+VIEW_SQL["word_rules"] = (("said",), """
 select cast(row_number() over (order by word) - 1 as int) as rule_ord, [word] as tokens, 'W-' || left(word, 2) as threat_id,
        len(word) / 20.0::double as match_score, word as reason, 'malware' as recommendation_method
-from (select distinct unnest(string_split(lower(text), ' ')) as word from benchmark) where len(word) > 1""")
+from (select distinct unnest(w) as word from said union
+      select distinct unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from said union select ' ')
+where len(word) > 1 or word = ' '""")
 
 
 @query("vuln_map_many_rules", oracle("document_vulnerabilities word_rules", """
@@ -84,14 +87,13 @@ from (select distinct unnest(string_split(lower(text), ' ')) as word from benchm
 select vulnerability_code, threat_id, max(reason) as reason, cast(len(max(reason)) / 20.0 as double) as match_score
 from hits group by 1, 2"""))
 def _(d):
-    words = (
-        d.table("benchmark")
-        .select(F.explode(F.split(F.lower("text"), " ")).alias("word"))
-        .where(F.length("word") > 1)
-        .distinct()
-    )
-    rules = words.select(
-        F.row_number().over(Window.orderBy("word")).alias("rule_ord"),
+    """A rule for every word and every two neighbouring words of a table, and one whose token is in all texts."""
+    words = F.split(F.lower("text"), " ")
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    said = d.table("benchmark").select(F.explode(F.concat(words, pairs, F.array(F.lit(" ")))).alias("word"))
+    said = said.where((F.length("word") > 1) | (F.col("word") == " ")).distinct()
+    rules = numbered(said, "word", "rule_ord").select(
+        "rule_ord",
         F.array("word").alias("tokens"),
         F.concat(F.lit("W-"), F.substring("word", 1, 2)).alias("threat_id"),
         (F.length("word") / 20.0).alias("match_score"),
@@ -102,6 +104,11 @@ def _(d):
     return vulnmap.exploded(matched).select("vulnerability_code", "threat_id", "reason", "match_score")
 
 
+@query("report_slice", oracle("vulnerabilities rules", _match_sql("vulnerabilities", 4) + _rows + " where pos < 2"))
+def _(d):
+    return _exploded(vulnmap.report_slice(vulnmap.map_vulnerabilities(d.vulnerabilities, tables.rules_table(d.spark)), 2))
+
+
 @query("validate_vulnerabilities", oracle("vulnerabilities", """
 select vulnerability_code, array_to_string(list_filter([case when p % 13 = 0 then 'asset_type' end,
        case when p % 17 = 0 then 'severity' end, case when p % 19 = 0 then 'title' end], lambda x: x is not null), ';') as errors

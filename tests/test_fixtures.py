@@ -3,7 +3,6 @@
 import json
 import random
 from datetime import date, datetime
-from types import SimpleNamespace
 
 import pandas as pd
 import pytest
@@ -17,7 +16,7 @@ from incidentlake.functions.numbers import round2
 from incidentlake.operators import metrics as M
 from incidentlake.operators import quality as Q
 from incidentlake.operators import regionhour as R
-from incidentlake.operators import scoring, stats, vulnmap
+from incidentlake.operators import scoring, skew, stats, vulnmap
 from incidentlake.operators.intensity import attack_intensity
 from incidentlake.sources import delimited, tables
 
@@ -150,9 +149,7 @@ def mapped(df):
     return {r.asset_id: [(m.threat_id, m.match_score) for m in r.matches] for r in df.collect()}
 
 
-@pytest.mark.parametrize("limit", [vulnmap.MAX_INLINE_TOKENS, 0])
-def test_vulnerability_mapping(spark, monkeypatch, limit):
-    monkeypatch.setattr(vulnmap, "MAX_INLINE_TOKENS", limit)  # 0 forces the prefix join
+def test_vulnerability_mapping(spark):
     vulns = spark.createDataFrame(VULNS, schema.VULNERABILITIES)
     rules = tables.rules_table(spark)
     assert mapped(vulnmap.map_vulnerabilities(vulns, rules)) == EXPECTED
@@ -160,9 +157,7 @@ def test_vulnerability_mapping(spark, monkeypatch, limit):
     assert mapped(vulnmap.map_vulnerabilities(vulns, rules, wildcard_fallback=True)) == wild
 
 
-@pytest.mark.parametrize("limit", [vulnmap.MAX_INLINE_TOKENS, 0])
-def test_last_rule_wins(spark, monkeypatch, limit):
-    monkeypatch.setattr(vulnmap, "MAX_INLINE_TOKENS", limit)
+def test_last_rule_wins(spark):
     rules = spark.createDataFrame(
         [(0, ["malware"], "TH-005", 0.7, "a", "malware"), (1, ["code"], "TH-005", 0.9, "b", "malware"),
          (2, ["*"], "TH-002", 0.4, "c", "phishing"), (3, ["x"], "TH-001", 0.9, "d", "phishing")],
@@ -177,7 +172,7 @@ def test_last_rule_wins(spark, monkeypatch, limit):
     assert got == {"a": [("TH-005", 0.9), ("TH-001", 0.9)], "b": [("TH-002", 0.4)]}
 
 
-def test_both_forms_have_one_order(spark, monkeypatch):
+def test_mapping_has_one_order(spark):
     """Rules of one number and threat, equal scores and a null score, in any order of the rows."""
     rows = [(0, ["malware"], "TH-005", 0.5, r, "malware") for r in "abcdef"] + [(0, ["malware"], "TH-001", 0.5, "g", "malware")]
     rows += [(1, ["code"], "TH-003", None, "h", "malware")] + [(2, ["*"], "TH-002", 0.4, r, "phishing") for r in "ijk"]
@@ -185,19 +180,15 @@ def test_both_forms_have_one_order(spark, monkeypatch):
         [("a", "n", "workstation", "CVE-1", "malware", "low", "code"), ("b", "n", "crm", "GEN-2", "nothing", "low", "none")], schema.VULNERABILITIES
     )
     got = []
-    for limit in (400, 0):
-        monkeypatch.setattr(vulnmap, "MAX_INLINE_TOKENS", limit)
-        for given in (rows, rows[::-1]):
-            matched = vulnmap.map_vulnerabilities(vulns, spark.createDataFrame(given, schema.RULES).coalesce(1), fallback_threat="TH-002")
-            got.append({r.asset_id: [tuple(m) for m in r.matches] for r in matched.collect()})
+    for given in (rows, rows[::-1]):
+        matched = vulnmap.map_vulnerabilities(vulns, spark.createDataFrame(given, schema.RULES).coalesce(1), fallback_threat="TH-002")
+        got.append({r.asset_id: [tuple(m) for m in r.matches] for r in matched.collect()})
     assert [m[:2] for m in got[0]["a"]] == [("TH-003", None), ("TH-001", 0.5), ("TH-005", 0.5)] and len(got[0]["b"]) == 1
     assert all(g == got[0] for g in got)
 
 
-@pytest.mark.parametrize("limit", [400, 0])
-def test_odd_rules(spark, monkeypatch, limit):
-    """Shared numbers, null tokens and threats, and no rule at all give the same in both forms."""
-    monkeypatch.setattr(vulnmap, "MAX_INLINE_TOKENS", limit)
+def test_odd_rules(spark):
+    """Shared numbers, null tokens and threats, and no rule at all."""
     rules = spark.createDataFrame(
         [(0, ["malware", None], "TH-001", 0.7, "a", "malware"), (0, ["absent"], "TH-003", 0.9, "b", "malware"), (1, ["code"], None, 0.9, "c", "malware")],
         schema.RULES,
@@ -234,9 +225,37 @@ def test_rows_without_organization_stay(spark):
 
 
 def test_fallback_only(spark):
-    rule = SimpleNamespace(rule_ord=0, tokens=["*"], threat_id="TH-002", match_score=0.4, reason="f", recommendation_method="phishing")
+    rules = spark.createDataFrame([(0, ["*"], "TH-002", 0.4, "f", "phishing")], schema.RULES)
     vulns = spark.createDataFrame(VULNS[2:3], schema.VULNERABILITIES)
-    assert mapped(vulnmap.map_with(vulns, [], rule)) == {"v3": [("TH-002", 0.4)]}
+    assert mapped(vulnmap.map_vulnerabilities(vulns, rules, fallback_threat="TH-002")) == {"v3": [("TH-002", 0.4)]}
+    assert mapped(vulnmap.map_vulnerabilities(vulns, rules, fallback_threat=None)) == {"v3": [("TH-002", 0.4)]}
+
+
+def test_mapping_with_hot_pieces_and_tokens(spark, monkeypatch):
+    """Short, long and empty tokens, and pieces that all texts share, with and without spreading them."""
+    rng = random.Random(5)
+    words = ["ab", "abc", "abcd", "xyz", "q", "the", "then", "other", "e r", "zz", "nowhere"]
+    texts = [" ".join(rng.choice(words[:-1]) for _ in range(rng.randrange(0, 9))) for _ in range(60)]
+    rules = [(i, [w.upper() if i % 2 else w], f"T{i % 4}", i / 20, w, "malware") for i, w in enumerate(words)] + [(20, ["*", "qq"], "T9", 0.1, "all", "malware"), (21, [""], "T8", 0.2, "too", "malware")]
+    vulns = spark.createDataFrame([(str(i), "n", "crm", f"V{i}", t, "low", "d") for i, t in enumerate(texts)], schema.VULNERABILITIES)
+    want = {}
+    for i, t in enumerate(texts):
+        text, best, first = f"crm v{i} {t} d", {}, {}
+        for number, tokens, threat, score, reason, _ in rules:
+            if any(x == "*" or x.lower() in text for x in tokens):
+                best[threat] = (score, reason)
+                first.setdefault(threat, number)
+        want[f"V{i}"] = [(x, *best[x]) for x in sorted(best, key=lambda x: (-best[x][0], first[x], x))]
+    frame = spark.createDataFrame(rules, schema.RULES)
+    for least in (skew.LEAST, 1):
+        monkeypatch.setattr(skew, "LEAST", least)
+        got = vulnmap.map_vulnerabilities(vulns, frame).collect()
+        assert {r.vulnerability_code: [(m.threat_id, m.match_score, m.reason) for m in r.matches] for r in got} == want
+
+
+def test_numbers_without_gaps(spark):
+    df = spark.createDataFrame([(f"{i:04d}",) for i in range(997)], "w string").repartition(5)
+    assert [(r.w, r.n) for r in skew.numbered(df, "w", "n").orderBy("n").collect()] == [(f"{i:04d}", i + 1) for i in range(997)]
 
 
 def test_catalog(spark):
