@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import BisectingKMeans, KMeans
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from incidentlake import fixed_values as V
-from incidentlake.session import materialized
+from incidentlake.operators.medians import medians, overall_medians
+from incidentlake.session import concurrently, materialized
 
 PROFILE_NUMERIC = (
     "host_count", "threat_code", "success", "confidentiality_breach", "integrity_breach", "availability_breach",
@@ -80,10 +89,10 @@ def scaled_columns(df: DataFrame, columns=PROFILE_NUMERIC) -> dict:
 
     The fitted values are one row of numbers, fetched like those of any fitted scaler.
     """
-    medians = df.agg(*[F.median(c).alias(c) for c in columns]).first()
+    middle = overall_medians(df, columns)
 
     def filled(c: str):
-        return F.coalesce(F.col(c).cast("double"), F.lit(medians[c]))
+        return F.coalesce(F.col(c).cast("double"), F.lit(middle[c]).cast("double"))
 
     fitted = df.agg(
         *[F.avg(filled(c)).alias(f"{c}_mean") for c in columns],
@@ -121,31 +130,127 @@ def _silhouette(predicted: DataFrame, measure: str = "squaredEuclidean") -> floa
 
 
 def kmeans_sweep(points: DataFrame, ks=range(2, 11)) -> list[tuple[int, float, float]]:
-    """(k, silhouette, inertia) per number of clusters."""
-    out = []
-    for k in ks:
+    """(k, silhouette, inertia) per number of clusters, fitted side by side on one table."""
+
+    def one(k: int) -> tuple[int, float, float]:
         model = KMeans(k=k, seed=V.SEED).fit(points)
-        out.append((k, _silhouette(model.transform(points)), float(model.summary.trainingCost)))
-    return out
+        return k, _silhouette(model.transform(points)), float(model.summary.trainingCost)
+
+    return concurrently(points.sparkSession, [partial(one, k) for k in ks])
 
 
 def kmeans(points: DataFrame, k: int) -> DataFrame:
     return KMeans(k=k, seed=V.SEED).fit(points).transform(points).withColumnRenamed("prediction", "cluster")
 
 
-def hierarchical_sweep(points: DataFrame, ks=range(2, 11), measure: str = "cosine") -> list[tuple[int, float]]:
-    """(k, silhouette) of top-down bisecting clustering."""
-    out = []
-    for k in ks:
-        model = BisectingKMeans(k=k, seed=V.SEED, distanceMeasure=measure).fit(points)
-        out.append((k, _silhouette(model.transform(points), measure)))
-    return out
+def hierarchy(points: DataFrame, most: int = 10, measure: str = "cosine") -> DataFrame:
+    """``points`` with ``labels``: the cluster numbers at 2, 3 .. ``most`` clusters, from one top-down tree.
+
+    The largest cluster is split in two, again and again: the half with the smaller number of rows (ties: the second)
+    gets the next free number. So the clusterings are nested, and each split reads the rows of one cluster only. Ends early
+    when the largest cluster can't be split any more.
+    """
+    tree = materialized(points.withColumns({"_label": F.lit(0), "labels": F.array().cast("array<int>")}))
+    sizes = {0: tree.count()}
+    for k in range(2, most + 1):
+        chosen = max(sizes, key=lambda c: (sizes[c], -c))
+        part = tree.where(F.col("_label") == chosen)
+        halves = KMeans(k=2, seed=V.SEED, distanceMeasure=measure, predictionCol="_half").fit(part)
+        split = halves.transform(tree)
+        counts = {r[0]: r[1] for r in split.where(F.col("_label") == chosen).groupBy("_half").count().collect()}
+        if len(counts) < 2:
+            break
+        smaller = 0 if counts[0] < counts[1] else 1
+        moved = (F.col("_label") == chosen) & (F.col("_half") == smaller)
+        label = F.when(moved, F.lit(k - 1)).otherwise(F.col("_label"))
+        tree = materialized(
+            split.withColumn("_label", label).withColumn("labels", F.concat("labels", F.array("_label"))).drop("_half")
+        )
+        sizes[chosen], sizes[k - 1] = counts[1 - smaller], counts[smaller]
+    return tree.drop("_label")
+
+
+def hierarchical_sweep(tree: DataFrame, measure: str = "cosine", most: int = 10) -> list[tuple[int, float]]:
+    """(k, silhouette) of every cut of a hierarchy."""
+
+    def one(k: int) -> tuple[int, float]:
+        cut = tree.withColumn("prediction", F.get("labels", F.lit(k - 2))).where("prediction is not null")
+        return k, _silhouette(cut, measure)
+
+    return concurrently(tree.sparkSession, [partial(one, k) for k in range(2, most + 1)])
+
 
+@dataclass
+class Projection:
+    """Components (one column of loadings each), the explained shares, and the mean that is taken off first."""
 
-def pca(points: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
-    """Projected points and the explained share of variance per component."""
-    model = PCA(k=k, inputCol="features", outputCol="components").fit(points)
-    return model.transform(points), [float(x) for x in model.explainedVariance]
+    loadings: np.ndarray
+    explained: list[float]
+    mean: np.ndarray
+
+    def points(self, points: DataFrame) -> DataFrame:
+        """``points`` with ``components``, the coordinates in the projection."""
+        loadings, mean = self.loadings, self.mean
+
+        def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _dense(batch.column("_x"), len(mean)) - mean
+                made = pa.array(list(x @ loadings), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], [*batch.schema.names[:-1], "components"])
+
+        kept = points.withColumn("_x", vector_to_array("features")).drop("features")
+        schema = StructType([*kept.drop("_x").schema.fields, StructField("components", ArrayType(DoubleType()))])
+        return kept.mapInArrow(project, schema)
+
+
+def _dense(column: pa.ListArray, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def pca(points: DataFrame, k: int, rounds: int = 8, extra: int = 10) -> Projection:
+    """The first ``k`` principal components, by subspace iteration over the rows.
+
+    A pass sends ``k + extra`` directions to the tasks; each adds up its rows' part of covariance times
+    directions, and the parts are summed by Spark. So the driver holds features x directions, never features x
+    features, and the rows stay where they are. Components point to where their largest loading is positive.
+    """
+    rows = points.select(vector_to_array("features").alias("x"))
+    dims = len(rows.first().x)
+    width = min(dims, k + extra)
+
+    def summed(directions: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(sums of squares, covariance sums times directions, rows) around a mean."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros((dims, directions.shape[1] + 2)), 0
+            for batch in batches:
+                x = _dense(batch.column(0), dims) - mean
+                total[:, :-2] += x.T @ (x @ directions)
+                total[:, -2] += (x * x).sum(axis=0)
+                total[:, -1] += x.sum(axis=0)
+                n += len(x)
+            if n:
+                columns = [pa.array(np.arange(dims + 1), pa.int32()), pa.array([*total, np.full(total.shape[1], float(n))], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["feature", "sums"])
+
+        parts = rows.mapInArrow(part, "feature int, sums array<double>")
+        sums = F.array(*[F.sum(F.get("sums", F.lit(i))) for i in range(directions.shape[1] + 2)])
+        got = np.array([r.sums for r in parts.groupBy("feature").agg(sums.alias("sums")).orderBy("feature").collect()])
+        return got[:-1, -1], got[:-1, :-1], int(got[-1, 0])
+
+    zero = np.zeros(dims)
+    total, _, n = summed(np.zeros((dims, 1)), zero)
+    mean = total / n
+    basis = np.linalg.qr(np.random.default_rng(V.SEED).normal(size=(dims, width)))[0]
+    for _ in range(rounds):
+        _, got, _ = summed(basis, mean)
+        # the image of the directions in the subspace they span, then the subspace one step on
+        small = basis.T @ got[:, :-1]
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        variance, vectors, image = float(got[:, -1].sum()), basis @ turn[:, ::-1], got[:, :-1]
+        basis = np.linalg.qr(image)[0]
+    vectors = vectors[:, :k] * np.sign(vectors[np.abs(vectors[:, :k]).argmax(axis=0), np.arange(min(k, width))])
+    return Projection(vectors, [float(v / variance) if variance else 0.0 for v in values[::-1][:k]], mean)
 
 
 def cluster_profile(df: DataFrame, n_top: int = 3) -> DataFrame:
@@ -162,7 +267,7 @@ def cluster_profile(df: DataFrame, n_top: int = 3) -> DataFrame:
             value.cast("double").alias("value"),
         )
 
-    stats = {"mean": F.avg, "median": F.median, "std": F.stddev_samp}
+    stats = {"mean": F.avg, "std": F.stddev_samp}
     agg = df.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("success").alias("success_rate"),
@@ -179,6 +284,13 @@ def cluster_profile(df: DataFrame, n_top: int = 3) -> DataFrame:
         *[cell("numeric", c, name, F.col(f"{name}_{c}")) for c in PROFILE_NUMERIC for name in stats],
     ]
     numeric = agg.select("cluster", F.inline(F.array(*cells)))
+    middle = medians(df, PROFILE_NUMERIC, ("cluster",)).select(
+        "cluster", F.lit("numeric").alias("section"), "feature", F.lit("median").alias("item"), F.col("median").alias("value")
+    )
+    every = agg.select("cluster", F.explode(F.array(*[F.lit(c) for c in PROFILE_NUMERIC])).alias("feature"))
+    middle = every.join(middle, ["cluster", "feature"], "left").select(
+        "cluster", F.lit("numeric").alias("section"), "feature", F.lit("median").alias("item"), "value"
+    )
     counts = (
         df.select("cluster", *PROFILE_CATEGORIES)
         .unpivot(["cluster"], list(PROFILE_CATEGORIES), "feature", "item")
@@ -190,4 +302,4 @@ def cluster_profile(df: DataFrame, n_top: int = 3) -> DataFrame:
     top = counts.withColumn("_rank", rank).where(F.col("_rank") <= n_top).select(
         "cluster", F.lit("top").alias("section"), "feature", "item", F.col("value").cast("double").alias("value")
     )
-    return numeric.unionByName(top)
+    return numeric.unionByName(middle).unionByName(top)

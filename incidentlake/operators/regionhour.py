@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 from incidentlake.functions import timecols as T
+from incidentlake.operators.medians import overall_medians
 from incidentlake.session import materialized
 
 HALO = max(*V.LAGS, *V.ROLLING)
@@ -93,19 +94,20 @@ def filled(grid: DataFrame, hours: DataFrame) -> DataFrame:
         *[F.median(c).alias(f"_{c}") for c in _HOSTS],
         *[F.mode(c, True).alias(f"_{c}") for c in _DOMINANT],
     )
-    changes = {c: F.coalesce(c, f"_{c}", hours.agg(F.median(c)).scalar()) for c in _HOSTS}
+    overall = overall_medians(hours, _HOSTS)
+    changes = {c: F.coalesce(c, f"_{c}", F.lit(overall[c]).cast("double")) for c in _HOSTS}
     changes |= {c: F.coalesce(c, f"_{c}", F.lit(V.UNKNOWN)) for c in _DOMINANT}
     return grid.join(fills, "region", "left").withColumns(changes).drop(*[f"_{c}" for c in (*_HOSTS, *_DOMINANT)])
 
 
-def blocked(grid: DataFrame, add: dict[str, Column]) -> DataFrame:
-    """Add window columns of at most ``HALO`` preceding hours, in parallel over blocks of hours.
+def blocked(grid: DataFrame, add: dict[str, Column], place: str = "hour_index") -> DataFrame:
+    """Add window columns of at most ``HALO`` preceding places, in parallel over blocks of places.
 
-    A region's hours are cut into blocks; every block also gets the last ``HALO`` hours of the
+    Places are cut into blocks; every block also gets the last ``HALO`` places of the
     block before it, which are dropped again afterwards. Expressions use ``history()``.
     """
-    own = F.floor(F.col("hour_index") / BLOCK_HOURS)
-    also = F.when(F.pmod("hour_index", F.lit(BLOCK_HOURS)) >= BLOCK_HOURS - HALO, own + 1)
+    own = F.floor(F.col(place) / BLOCK_HOURS)
+    also = F.when(F.pmod(place, F.lit(BLOCK_HOURS)) >= BLOCK_HOURS - HALO, own + 1)
     return (
         grid.withColumn("_block", F.explode(F.array_compact(F.array(own, also))))
         .withColumns(add)
@@ -114,8 +116,8 @@ def blocked(grid: DataFrame, add: dict[str, Column]) -> DataFrame:
     )
 
 
-def history() -> Window:
-    return Window.partitionBy("region", "_block").orderBy("hour_index")
+def history(by: tuple[str, ...] = ("region",), place: str = "hour_index") -> Window:
+    return Window.partitionBy(*by, "_block").orderBy(place)
 
 
 _LAGGED = {"attack": "attack_present", "incidents": "incidents_count", "success": "successful_count"}
@@ -147,33 +149,23 @@ def rolling_columns() -> dict[str, Column]:
 
 
 def compat_rolling(grid: DataFrame) -> DataFrame:
-    """Rolling columns that run on from one region into the next, in name order.
+    """Rolling columns that run on from one region into the next, in name order, however short the regions are.
 
-    The first rows of a region then see the tail of the region before it. Only that tail is
-    copied over, with its lagged values, so there is no window over the whole table. The grid
-    must span at least ``max(ROLLING) - 1`` hours.
+    The grid is dense, so a row's place in (region, hour) order is arithmetic; the windows run over blocks of
+    places, which may hold the end of a region, many whole ones and the start of another. Values are lagged
+    within their region first.
     """
-    keep = max(V.ROLLING) - 1
     lagged = blocked(grid, {f"_{name}": F.lag(column, 1).over(history()) for name, column in _LAGGED.items()})
-    names = [f"_{name}" for name in _LAGGED]
     first, last = (grid.agg(f("hour_index")).scalar() for f in (F.min, F.max))
-    regions = grid.select("region").distinct()
-    order = regions.select(
-        F.col("region").alias("_previous"), F.lead("region").over(Window.orderBy("region")).alias("_next")
-    ).where("_next is not null")
-    tail = (
-        lagged.where(F.col("hour_index") > last - keep)
-        .join(order, F.col("region") == F.col("_previous"))
-        .select(F.col("_next").alias("region"), (F.col("hour_index") - (last - first + 1)).alias("hour_index"), *names)
-        .withColumn("_halo", F.lit(True))
-    )
-    both = lagged.withColumn("_halo", F.lit(False)).unionByName(tail, allowMissingColumns=True)
+    ranks = grid.select("region").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("region")) - 1)  # regions only
+    place = F.col("_rank") * (last - first + 1) + F.col("hour_index") - first
+    placed = lagged.join(ranks, "region").withColumn("_place", place.cast("bigint")).drop("_rank")
     add = {}
     for name in _LAGGED:
         for k in V.ROLLING:
-            label, value = _rolled(name, f"_{name}", history().rowsBetween(1 - k, 0))
+            label, value = _rolled(name, f"_{name}", history((), "_place").rowsBetween(1 - k, 0))
             add[f"rolling_{label}_{k}"] = value
-    return blocked(both, add).where(~F.col("_halo")).drop("_halo", *names)
+    return blocked(placed, add, "_place").drop("_place", *[f"_{name}" for name in _LAGGED])
 
 
 def features(grid: DataFrame, compat: bool = False) -> DataFrame:
@@ -243,14 +235,24 @@ def cv_folds(grid: DataFrame, folds: int = V.FOLDS, order: str = "time") -> Data
 # ---- forecast rows --------------------------------------------------------------------------
 
 
-def base_levels(grid: DataFrame, by: tuple[str, ...] = ("region",)) -> DataFrame:
-    """Medians and modes of the filled grid, per region or overall (bounded by regions x hours)."""
-    return grid.groupBy(*by).agg(
-        *[F.median(c).alias(c) for c in (*_HOSTS, "threat_danger_score")],
+_LEVELS = (*_HOSTS, "threat_danger_score")
+
+
+def base_levels(grid: DataFrame) -> DataFrame:
+    """Medians and modes of the filled grid per region (groups are the hours of one region)."""
+    return grid.groupBy("region").agg(
+        *[F.median(c).alias(c) for c in _LEVELS],
         *[F.mode(c, True).alias(c) for c in _DOMINANT],
     )
 
 
+def overall_levels(grid: DataFrame) -> dict[str, Column]:
+    """The same of the whole grid, as values: medians without one task, modes from counts per value."""
+    levels = {c: F.lit(v).cast("double") for c, v in overall_medians(grid, _LEVELS).items()}
+    modes = grid.agg(*[F.mode(c, True).alias(c) for c in _DOMINANT]).first()
+    return levels | {c: F.lit(modes[c]) for c in _DOMINANT}
+
+
 def forecast_rows(grid: DataFrame, targets: DataFrame) -> DataFrame:
     """Feature rows for every hour of (region, date) targets, from history strictly before each hour.
 
@@ -284,11 +286,10 @@ def forecast_rows(grid: DataFrame, targets: DataFrame) -> DataFrame:
         windows, (F.col("region") == F.col("w_region")) & (F.least(F.col("hour_index"), last + 1) == F.col("w_hour")), "left"
     )
     levels = base_levels(grid).withColumnRenamed("region", "l_region")
-    overall = base_levels(grid, ())
     df = joined.join(levels, F.col("region") == F.col("l_region"), "left")
-    names = (*_HOSTS, "threat_danger_score", *_DOMINANT)
-    everything = overall.select(F.struct(*names)).scalar()
-    df = df.withColumns({c: F.coalesce(F.col(c), everything.getField(c)) for c in names})
+    overall = overall_levels(grid)
+    names = tuple(overall)
+    df = df.withColumns({c: F.coalesce(F.col(c), value) for c, value in overall.items()})
     computed = [c for c in columns if c not in names]
     df = df.withColumns({c: F.coalesce(c, F.lit(0)) for c in computed})
     df = df.withColumnsRenamed({f"mean_{c}": c for c in ("incidents_count", "unique_enterprises", "unique_threats")})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from incidentlake.ml import clustering as C
@@ -99,6 +98,23 @@ def _(d):
     return rounded(C.standardized(_numeric(d)).select("incident_id", *C.PROFILE_NUMERIC), *C.PROFILE_NUMERIC)
 
 
+_planted = {"host_count": 7, "threat_code": 11, "success": 13, "confidentiality_breach": 17, "integrity_breach": 19, "availability_breach": 23}
+_planted_sql = ", ".join(f"case when incident_id % {n} = 0 then null else {column}::double end as {c}"
+                         for (c, n), column in zip(_planted.items(), ("host_count", "threat_code", "success", "c", "g", "a")))
+
+
+@query("standardize_imputed", oracle("model_rows", f"""
+, x as (select incident_id, {_planted_sql} from model_rows)
+, m as (select {', '.join(f'median({c}) as {c}' for c in C.PROFILE_NUMERIC)} from x)
+, y as (select x.incident_id, {', '.join(f'coalesce(x.{c}, m.{c}) as {c}' for c in C.PROFILE_NUMERIC)} from x, m)
+select y.incident_id, {', '.join(f'round((y.{c} - a.{c}) / case when s.{c} = 0 then 1 else s.{c} end, 6) as {c}' for c in C.PROFILE_NUMERIC)} from y,
+  (select {', '.join(f'avg({c}) as {c}' for c in C.PROFILE_NUMERIC)} from y) a,
+  (select {', '.join(f'stddev_pop({c}) as {c}' for c in C.PROFILE_NUMERIC)} from y) s"""))
+def _(d):
+    planted = {c: F.when(F.col("incident_id") % n != 0, F.col(c)) for c, n in _planted.items()}
+    return rounded(C.standardized(_numeric(d).withColumns(planted)).select("incident_id", *C.PROFILE_NUMERIC), *C.PROFILE_NUMERIC)
+
+
 _numeric_sql = " union all ".join(
     f"select season as cluster, 'numeric' as section, '{c}' as feature, '{name}' as item, {f}({column})::double as value from model_rows group by 1"
     for c, column in zip(C.PROFILE_NUMERIC, ("host_count", "threat_code", "success", "c", "g", "a"))
@@ -132,24 +148,40 @@ def _(d):
     return local_table(d.spark, C.kmeans_sweep(C.assembled(_numeric(d))), "k int, silhouette double, inertia double")
 
 
+def _points(d: Domain):
+    return C.vectors(C.matrix(d.incidents, d.registry))
+
+
 @query("pca")
 def _(d):
-    points = C.vectors(C.matrix(d.incidents, d.registry))
-    rows = [(k, i + 1, share) for k in (2, 5) for i, share in enumerate(C.pca(points, k)[1])]
+    points = _points(d)
+    rows = [(k, i + 1, share) for k in (2, 5) for i, share in enumerate(C.pca(points, k).explained)]
     return local_table(d.spark, rows, "k int, component int, explained double")
 
 
+@query("pca_loadings")
+def _(d):
+    loadings = C.pca(_points(d), 2).loadings
+    rows = [(f, k + 1, float(v)) for f, row in enumerate(loadings) for k, v in enumerate(row)]
+    return local_table(d.spark, rows, "feature int, component int, loading double")
+
+
 @query("hierarchical_cluster")
 def _(d):
-    points = C.vectors(C.matrix(d.incidents, d.registry))
-    return local_table(d.spark, C.hierarchical_sweep(points), "k int, silhouette double")
+    return local_table(d.spark, C.hierarchical_sweep(C.hierarchy(_points(d))), "k int, silhouette double")
+
+
+@query("hierarchical_labels")
+def _(d):
+    tree = C.hierarchy(_points(d)).select("incident_id", F.posexplode("labels").alias("k", "cluster"))
+    return tree.select("incident_id", (F.col("k") + 2).alias("k"), "cluster")
 
 
 @query("density_cluster")
 def _(d):
-    points, _ = C.pca(C.vectors(C.matrix(d.incidents, d.registry)), 2)
-    xy = vector_to_array("components")
-    flat = points.select("incident_id", F.round(xy[0], 6).alias("x"), F.round(xy[1], 6).alias("y"))
+    points = _points(d)
+    xy = C.pca(points, 2).points(points)
+    flat = xy.select("incident_id", F.round(F.col("components")[0], 6).alias("x"), F.round(F.col("components")[1], 6).alias("y"))
     return density.density_cluster(materialized(flat), ["x", "y"], 0.3, 5, "incident_id")
 
 

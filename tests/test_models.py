@@ -8,16 +8,18 @@ from collections import Counter
 from functools import partial
 from math import dist
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 from incidentlake.functions.numbers import round2
-from incidentlake.ml import boosting, density, forest, region_risk
-from incidentlake.operators import metrics
+from incidentlake.ml import boosting, clustering, density, forest, region_risk
+from incidentlake.operators import medians, metrics
 from incidentlake.operators import regionhour as R
 from incidentlake.session import concurrently, materialized
 
@@ -222,3 +224,90 @@ def test_metrics_of_folds_on_any_partitioning(spark):
     f1s = [got[f].f1 for f in (1, 2, 3)]
     assert (summary.folds, summary.train_rows, summary.feature_count) == (3, len(rows), 4)
     assert summary.mean_f1 == pytest.approx(statistics.mean(f1s)) and summary.std_f1 == pytest.approx(statistics.stdev(f1s))
+
+
+# medians, windows that run on, projections, the cluster tree, label shares
+
+
+def test_medians_of_columns_and_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(9)]), rng.choice([0.5, None, rng.random()])) for _ in range(500)] + [("one", 4, None)]
+    df = spark.createDataFrame(rows, "g string, x int, y double").repartition(6)
+    got = {(r.g, r.feature): r.median for r in medians.medians(df, ["x", "y"], ("g",)).collect()}
+    want = {}
+    for g in ("a", "b", None, "one"):
+        for i, c in ((1, "x"), (2, "y")):
+            values = [r[i] for r in rows if r[0] == g and r[i] is not None]
+            if values:
+                want[g, c] = statistics.median(values)
+    assert got == pytest.approx(want)
+    assert medians.overall_medians(df, ["x", "y"])["x"] == statistics.median([r[1] for r in rows if r[1] is not None])
+    assert medians.overall_medians(df.where("x < 0"), ["x"]) == {"x": None}
+
+
+@pytest.mark.parametrize("hours,regions", [(5, 3), (1, 40), (30, 4), (700, 2)])
+def test_windows_run_on_over_any_number_of_short_regions(spark, hours, regions):
+    rng = random.Random(hours)
+    rows = [(f"R{r:02d}", 1000 + h, rng.randrange(2), rng.randrange(5), rng.randrange(3)) for r in range(regions) for h in range(hours)]
+    df = spark.createDataFrame(rows, "region string, hour_index bigint, attack_present int, incidents_count int, successful_count int").repartition(5)
+    got = {(r.region, r.hour_index): r for r in R.compat_rolling(df).collect()}
+    assert len(got) == len(rows)
+    lagged = [(None,) * 3 if i % hours == 0 else rows[i - 1][2:] for i in range(len(rows))]
+    for i, row in enumerate(rows):
+        for k in V.ROLLING:
+            seen = [x for x in lagged[max(0, i - k + 1) : i + 1]]
+            known = [x for x in seen if x[0] is not None]
+            r = got[row[:2]]
+            assert r[f"rolling_attack_mean_{k}"] == pytest.approx(sum(x[0] for x in known) / len(known) if known else 0.0)
+            assert r[f"rolling_incidents_sum_{k}"] == sum(x[1] for x in known) and r[f"rolling_success_sum_{k}"] == sum(x[2] for x in known)
+
+
+def test_projection_is_that_of_the_covariance(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 9)) @ rng.normal(size=(9, 9)) * np.array([9, 5, 3, 1, 1, 1, 1, 1, 1]) + 4
+    df = spark.createDataFrame([(i, Vectors.dense(r)) for i, r in enumerate(x.tolist())], ["id", "features"]).repartition(3)
+    found = clustering.pca(df, 3, rounds=40, extra=2)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    want = vectors[:, ::-1][:, :3]
+    want = want * np.sign(want[np.abs(want).argmax(axis=0), range(3)])
+    assert np.allclose(found.loadings, want, atol=1e-5) and np.allclose(found.explained, values[::-1][:3] / values.sum(), atol=1e-9)
+    placed = {r.id: r.components for r in found.points(df).collect()}
+    assert np.allclose([placed[i] for i in range(400)], (x - x.mean(axis=0)) @ want, atol=1e-3)
+    whole = clustering.pca(df, 9, rounds=3)  # as many as there are: exact at once
+    assert sum(whole.explained) == pytest.approx(1.0)
+
+
+def test_cluster_tree_is_nested(spark):
+    rng = random.Random(8)
+    centers = [(9, 1, 1), (1, 9, 1), (1, 1, 9), (9, 9, 1)]
+    rows = [(i, Vectors.dense([c + rng.gauss(0, 0.3) for c in centers[i % 4]])) for i in range(200)]
+    tree = clustering.hierarchy(spark.createDataFrame(rows, ["id", "features"]), 6)
+    labels = {r.id: r["labels"] for r in tree.collect()}
+    for k in range(2, 7):
+        at = [labels[i][k - 2] for i in range(200)]
+        assert sorted(set(at)) == list(range(k))
+        if k > 2:  # every cluster lies in one of the cut before
+            assert len({(labels[i][k - 2], labels[i][k - 3]) for i in range(200)}) == k
+    assert len({tuple(sorted(i for i in range(200) if labels[i][2] == c)) for c in range(4)} & {tuple(range(c, 200, 4)) for c in range(4)}) == 4
+    scores = dict(clustering.hierarchical_sweep(tree, most=6))
+    assert max(scores, key=scores.get) == 4
+    same = spark.createDataFrame([(i, Vectors.dense([1.0, 2.0])) for i in range(5)], ["id", "features"])
+    assert {tuple(r["labels"]) for r in clustering.hierarchy(same, 4).collect()} <= {(), (0,), (0, 0), (0, 0, 0)}
+
+
+def test_label_shares_leave_the_own_label_out(spark):
+    """With random labels, shares of the other folds tell nothing; shares with the own label would."""
+    rng = random.Random(6)
+    rows = [(i, f"org{i % 200}", rng.choice(["a", "b"]), "x") for i in range(2400)]
+    df = spark.createDataFrame(rows, "incident_id int, organization_code string, attack_method string, target_object string")
+    values = {"attack_method": ["a", "b"], "target_object": ["x"]}
+    history, overall = forest.label_history(df, values)
+
+    def lift(known):
+        got = known.select(F.corr((F.col("attack_method") == "a").cast("double"), "attack_method_0_share")).first()[0]
+        return got or 0.0
+
+    assert lift(forest.with_history(df, history, overall)) > 0.2
+    assert lift(forest.out_of_fold(df, values, overall, least=5)) < 0.05
+    few = spark.createDataFrame([(1, "o", "a", "x"), (2, None, "a", "x")], df.schema)
+    assert {r.attack_method_0_share for r in forest.out_of_fold(few, values, overall).collect()} == {overall["attack_method_0_share"]}
