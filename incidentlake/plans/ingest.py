@@ -257,6 +257,68 @@ def _(d):
     return tables.clean_incidents(typed).select(*_typed)
 
 
+def _text_files(d: Domain, name: str, lines: DataFrame, parts: int) -> str:
+    """(part, line, value) as one text file per part, lines in order; values may hold bytes of any encoding."""
+    path = scratch(d, name)
+    placed = lines.repartition(parts, "part").sortWithinPartitions("part", "line")
+    placed.select("part", "value").write.partitionBy("part").text(path)
+    return path
+
+
+_MIXED = ((";", "utf-8"), (",", "cp1251"), ("|", "utf-8"), ("\t", "cp1251"))
+
+
+def _mixed(cells: list, part) -> F.Column:
+    """Cells joined with the separator and in the encoding of their part."""
+    value = F.lit(None).cast("string")
+    for i, (separator, encoding) in enumerate(_MIXED):
+        joined = F.concat_ws(separator, *cells)
+        made = joined if encoding == "utf-8" else delimited.in_cp1251(joined).cast("string")
+        value = F.when(part == i, made).otherwise(value)
+    return value
+
+
+@query("read_headerless", oracle("clean", f"select {_typed_sql} from clean"))
+def _(d):
+    raw = raw_incidents(d)
+    columns = ["incident_id", *_H]
+    part = (F.col("incident_id") % len(_MIXED)).cast("int")
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]
+    lines = raw.select(part.alias("part"), F.col("incident_id").alias("line"), _mixed(cells, part).alias("value"))
+    read = delimited.read_headerless(d.spark, _text_files(d, "bare-log", lines, len(_MIXED)), columns)
+    typed = tables.normalize_incidents(read.withColumn("incident_id", F.col("incident_id").cast("bigint")))
+    return tables.clean_incidents(typed).select(*_typed)
+
+
+@query("header_detect_registry", oracle("typed_registry", _dedup_sql))
+def _(d):
+    """The registry in files of several separators and encodings, with three lines above the header."""
+    raw = raw_registry(d)
+    columns = ["ord", *[c for c in raw.columns if c != "ord"]]
+    part = (F.col("ord") % len(_MIXED)).cast("int")
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit("")), F.lit('"')) for c in columns]
+    body = raw.select(part.alias("part"), F.col("ord").cast("bigint").alias("line"), _mixed(cells, part).alias("value"))
+    own = F.col("part")
+    header = _mixed([F.lit(f'"{c}"') for c in columns], own)
+    title = _mixed([F.lit("Выгрузка реестра угроз")], own)
+    above = [F.struct(F.lit(i - 10).cast("bigint").alias("line"), x.alias("value")) for i, x in enumerate((title, F.lit("-"), F.lit("-"), header))]
+    heads = d.spark.range(len(_MIXED)).select(F.col("id").cast("int").alias("part")).select("part", F.inline(F.array(*above)))
+    path = _text_files(d, "registry-log", heads.unionByName(body), len(_MIXED))
+    read = delimited.read_with_header(d.spark, path, V.REGISTRY_REQUIRED_HEADERS, V.REGISTRY_HEADER_ROWS)
+    typed = tables.normalize_registry(read.withColumn("ord", F.col("ord").cast("bigint")), ("ord",))
+    return tables.dedup_registry(typed, "ord").select("threat_code", "name", "description", "object_of_impact", "status")
+
+
+@query("seed_if_empty", oracle("incidents", f"select {_typed_sql} from incidents"))
+def _(d):
+    """The second write finds rows and is left out."""
+    path = scratch(d, "seeded")
+    written = [tables.append_if_empty(d.incidents, path) for _ in range(2)]
+    if written != [True, False]:
+        raise AssertionError(written)
+    return tables.saved(d.spark, path).select(*_typed)
+
+
 @query("source_precedence", oracle("incidents", f"select {_typed_sql} from incidents"))
 def _(d):
     return tables.first_available(

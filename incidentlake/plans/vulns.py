@@ -8,6 +8,7 @@ from incidentlake import fixed_values as V
 from incidentlake.operators import quality, vulnmap
 from incidentlake.operators.skew import numbered
 from incidentlake.plans.base import VIEW_SQL, Domain, oracle, query, quoted
+from incidentlake.plans.ingest import scratch
 from incidentlake.sources import tables
 
 
@@ -162,6 +163,58 @@ def _(d):
     return quality.rule_violations(d.part_rules).unionByName(quality.catalog_violations(d.part_catalog))
 
 
+def _rules_json(d: Domain):
+    """The rules of the part table, written as JSON documents of a hundred rules and read again."""
+    rules = numbered(d.part_rules.select(F.col("rule_ord").alias("_at"), "tokens", "threat_id", "match_score", "reason", "recommendation_method"), "_at", "_n")
+    rule = F.to_json(F.struct("tokens", "threat_id", "match_score", "reason", "recommendation_method"))
+    part = F.format_string("%09d", F.floor((F.col("_n") - 1) / 100))
+    documents = rules.groupBy(part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("_n", rule.alias("rule")))).alias("rules"))
+    path = scratch(d, "rules-json")
+    text = F.concat(F.lit("[\n"), F.array_join(F.col("rules.rule"), ",\n"), F.lit("\n]"))
+    documents.select("part", text.alias("value")).repartition("part").write.partitionBy("part").text(path)
+    return tables.rules_table(d.spark, path)
+
+
+VIEW_SQL["json_rules"] = (("part_rules",), "select * replace (cast(row_number() over (order by rule_ord) - 1 as int) as rule_ord) from part_rules")
+
+
+@query("rules_from_json", oracle("json_rules", """
+select rule_ord, threat_id, match_score, array_to_string(tokens, ' ') as tokens, reason, recommendation_method from json_rules"""))
+def _(d):
+    return _rules_json(d).select("rule_ord", "threat_id", "match_score", F.array_join("tokens", " ").alias("tokens"), "reason", "recommendation_method")
+
+
+@query("config_violations_json", oracle("json_rules", f"""
+select 'rule' as kind, cast(rule_ord as varchar) as id, 'tokens must not be empty' as violation from json_rules where len(tokens) = 0
+union all select 'rule', cast(rule_ord as varchar), 'match_score out of range' from json_rules where match_score not between 0 and 1
+union all select 'rule', cast(rule_ord as varchar), 'unknown recommendation method' from json_rules where recommendation_method not in {tuple(V.METHODS)}
+union all select 'recommendation', 'PR-' || p_partkey, 'unknown method' from part where p_partkey % 29 = 0
+union all select 'recommendation', 'PR-' || p_partkey, 'priority out of range' from part where p_size % 7 not between 1 and 5
+union all select 'scoring', 'scoring', 'risk_score_normalizer must be positive' from (select min(p_size) as m from part) where m - 1 <= 0
+union all select 'scoring', 'scoring', 'confidence_base out of range' from (select max(p_size) as m from part) where m > 1"""))
+def _(d):
+    """Rules read from JSON, recommendations of the part table, and a scoring row with its numbers replaced."""
+    part = d.table("part")
+    recommendations = part.select(
+        F.concat(F.lit("PR-"), "p_partkey").alias("code"), F.when(F.col("p_partkey") % 29 == 0, "magic").otherwise("malware").alias("method"),
+        (F.col("p_size") % 7).alias("priority"),
+    )
+    sizes = part.agg(F.min("p_size").alias("low"), F.max("p_size").alias("high")).first()
+    scoring = tables.scoring_table(d.spark).withColumns(
+        {"risk_score_normalizer": F.lit(float(sizes.low - 1)), "confidence_base": F.lit(float(sizes.high))}
+    )
+    checks = (quality.rule_violations(_rules_json(d)), quality.recommendation_violations(recommendations), quality.scoring_violations(scoring))
+    return checks[0].unionByName(checks[1]).unionByName(checks[2])
+
+
+@query("require_threats", oracle("part_catalog json_rules", """
+select rule_ord, threat_id from json_rules where threat_id in (select threat_id from part_catalog)"""))
+def _(d):
+    rules = _rules_json(d)
+    known = rules.join(quality.rule_orphans(rules, d.part_catalog).select("rule_ord"), "rule_ord", "left_anti")
+    return quality.require_threats(known, d.part_catalog).select("rule_ord", "threat_id")
+
+
 @query("rule_orphans", oracle("part_catalog part_rules", """
 select rule_ord, threat_id from part_rules where threat_id not in (select threat_id from part_catalog)"""))
 def _(d):

@@ -345,7 +345,25 @@ def test_encoding_of_each_file_is_that_of_all_its_lines(spark, tmp_path):
 
 def test_a_line_of_undefined_bytes_is_not_cp1251(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("a;b\nпривет;".encode("cp1251") + b"\x98\n")
-    assert [r.encodings for r in delimited._files(spark, str(tmp_path))] == [["latin1"]]
+    assert [f.encodings for f in delimited._files(spark, str(tmp_path))] == [["latin1"]]
+
+
+def test_files_of_any_separator_and_column_order(spark, tmp_path):
+    header = ["name", "code", "note"]
+    for file, sep, order, extra in (("a", "|", [0, 1, 2], []), ("b", "~", [2, 0, 1], []), ("c", ";", [1, 0, 2], ["more"]), ("d", ",", [0, 1, 2], [])):
+        rows = [[f"n{i}", str(i), '"x; y, z | ~"'] for i in range(40)]
+        lines = [["log " + file], [header[k] for k in order] + extra, *[[r[k] for k in order] + extra for r in rows]]
+        (tmp_path / f"{file}.csv").write_text("\n".join(sep.join(x) for x in lines))
+    got = delimited.read_with_header(spark, str(tmp_path), ["name", "code"], 3)
+    assert sorted(got.columns) == ["code", "more", "name", "note"]
+    rows = got.collect()
+    assert len(rows) == 160 and {(r.name, r.code, r.note) for r in rows} == {(f"n{i}", str(i), "x; y, z | ~") for i in range(40)}
+    assert sum(r.more == "more" for r in rows) == 40
+    found = {f.name[-5]: f.separators[0] for f in delimited._files(spark, str(tmp_path))}
+    assert found == {"a": ("|", 3), "b": ("~", 3), "c": (";", 4), "d": (",", 3)}
+    (tmp_path / "e.csv").write_text("nothing here\nat all\n")
+    with pytest.raises(ValueError):
+        delimited.read_with_header(spark, str(tmp_path), ["name", "code"], 3)
 
 
 def test_sources_and_seeds(spark, tmp_path):
