@@ -5,8 +5,8 @@ caller says so). A visitor flattens the parts in order: text is escaped, an imag
 part becomes a placeholder with its number, and its reference and expanded token count are recorded.
 
 A turn reads ``<|role|>text<|end|>`` with the role in place of ``role``; a placeholder is
-``<|image:0|>``. In texts and roles ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, so no text
-can write a control string, and ``parse`` gives every text back.
+``<|image:0|>``. In texts ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``; in roles every backslash, bar, colon and ``<`` gets
+a backslash. So neither can write a control string, and ``parse`` gives every text back.
 
 Null roles and texts count as empty. Turns are ordered by turn number (null first), then role, then
 text; repeated rows are repeated turns. Rows with a null conversation id form one conversation. An
@@ -39,8 +39,8 @@ def unescape(text: str) -> str:
 
 
 def escape_role(role: str) -> str:
-    """A role stands inside a control string, so its bars are escaped as well."""
-    return role.replace("\\", "\\\\").replace("|", "\\|").replace(":", "\\:")
+    """A role stands inside a control string, so its bars and angles are escaped as well."""
+    return re.sub(r"[\\|:<]", lambda m: "\\" + m[0], role)
 
 
 class PartVisitor:
@@ -98,17 +98,21 @@ def format_turn(role: str | None, content: str | None, typed: bool = False) -> t
 def parse(formatted: str) -> list[tuple[str, str, int, int]]:
     """(role, text, start, end) of every turn; start and end are the place of the escaped text.
 
-    Placeholders stay in the text as they are written.
+    Placeholders stay in the text as they are written. Whatever is not read as a whole turn raises.
     """
-    turns, role, start = [], None, 0
+    turns, role, start, done = [], None, 0, 0
     for m in _CONTROL.finditer(formatted):
         if role is None:
+            if m.start() != done:
+                raise ValueError("text between turns")
             role, start = unescape(m[1]), m.end()
         elif m[1] == "end":
             turns.append((role, unescape(formatted[start : m.start()]), start, m.start()))
-            role = None
+            role, done = None, m.end()
         elif not _MEDIA.fullmatch(m[1]):
             raise ValueError("a turn without its end")
+    if role is not None or done != len(formatted):
+        raise ValueError("the text does not end with a whole turn")
     return turns
 
 

@@ -10,8 +10,8 @@ search window (one for one-word patterns):
 
 Long texts are cut into lanes by the place where a window ends, and all lanes of a slice advance
 together. Texts are lower-cased in A-Z; null text has no words; a document without words is clean.
-An item without id or
-text has no patterns. Repeated rows are judged each for itself. An empty benchmark hits nothing. Any columns may be kept.
+An item without
+text has no patterns; one without id marks the words that it holds, but can't be named. Repeated rows are judged each for itself. An empty benchmark hits nothing. Any columns may be kept.
 """
 
 from __future__ import annotations
@@ -119,9 +119,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], size: int = 10,
     return out.select(F.col("keep").alias("row"), "n_words", F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"))
 
 
-def _blocks(items: DataFrame, size: int) -> Iterator[tuple[list[PatternSet], list[str]]]:
+def _blocks(items: DataFrame, size: int) -> Iterator[tuple[list[PatternSet], list[str | None]]]:
     block, held = [], 0
-    for r in items.filter("text is not null and id is not null").toLocalIterator():
+    for r in items.filter("text is not null").toLocalIterator():
         block.append((r["id"], r["text"]))
         held += r["text"].count(" ") + 1
         if held >= BLOCK_WORDS:
@@ -130,7 +130,7 @@ def _blocks(items: DataFrame, size: int) -> Iterator[tuple[list[PatternSet], lis
     yield pattern_sets(block, size), [i for i, _ in block]
 
 
-def _find(texts: pa.Array, sets: list[PatternSet], names: list[str]) -> list[pa.Array]:
+def _find(texts: pa.Array, sets: list[PatternSet], names: list[str | None]) -> list[pa.Array]:
     words = Words(texts, ALNUM_WORDS, True)
     hashes = words.hashes()
     hit = np.zeros(words.n, bool)
@@ -140,7 +140,7 @@ def _find(texts: pa.Array, sets: list[PatternSet], names: list[str]) -> list[pa.
         for i in range(patterns.length):
             hit[start + i] = True
         for row, p in set(zip(words.doc[start].tolist(), found.tolist())):
-            items[row].update(names[o] for o in patterns.owners[p])
+            items[row].update(names[o] for o in patterns.owners[p] if names[o] is not None)
     place = np.flatnonzero(hit)
     first = np.searchsorted(place, words.first)
     inside = (place - words.first[words.doc[place]]).astype(np.int32)

@@ -13,9 +13,23 @@ from incidentlake.llm import bisector, chat, classifier, decontaminate, langid,
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 
-#: Host and path rules of the URL query, and hosts of advertisers and spam that its method blocks besides.
+#: Host and path rules of the URL query.
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-SPAM_HOSTS = ("ads-track", "casino-win", "cheap-pills", "free-bets")
+
+# Words of the method's own block list. A host is blocked if a label begins with a topic, or has one between or behind
+# hyphens, or is a topic and a noun in one; an address is blocked by the folders that serve advertisements.
+SPAM_TOPICS = (
+    "ads", "adserver", "adult", "advert", "affiliate", "banner", "bet", "bets", "betting", "bingo", "blackjack", "cams", "casino", "cashback",
+    "cialis", "clickbait", "coupons", "cracked", "dating", "doorway", "escort", "erotic", "fakes", "forexbot", "gambling", "giveaway", "hacked",
+    "hentai", "hookup", "jackpot", "keygen", "linkfarm", "loans", "lottery", "malware", "miner", "nude", "payday", "pharma", "phish", "pills",
+    "pirated", "poker", "popunder", "porn", "roulette", "scam", "sexcam", "slots", "spam", "spyware", "streamz", "torrentz", "track", "tracker",
+    "viagra", "warez", "webcams", "winnings", "xxx",
+)
+SPAM_NOUNS = (
+    "bonus", "city", "club", "deals", "farm", "hub", "king", "land", "live", "mania", "online", "palace", "planet", "play", "plus", "pro", "rush",
+    "shop", "spin", "star", "store", "win", "world", "zone",
+)
+AD_FOLDERS = ("adserver", "adframe", "banners", "popunder", "doubleclick", "clicktrack")
 
 #: A conversation whose texts hold control strings of common templates.
 HARD_CONVERSATION = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -32,7 +46,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_rules() -> list[urls.UrlRule]:
-    return [urls.host_rule(name, verdict) for name, verdict in URL_RULES] + [urls.UrlRule(f"spam:{h}", f"||{h}.", "block") for h in SPAM_HOSTS]
+    """The given rules, and some two thousand patterns against spam and advertisements."""
+    patterns = [shape.format(t) for t in SPAM_TOPICS for shape in ("||{}.", "||{}-", "-{}.", "-{}-")]
+    patterns += [f"||{t}{n}." for t in SPAM_TOPICS for n in SPAM_NOUNS]
+    patterns += [shape.format(f) for f in AD_FOLDERS for shape in ("/{}/", "/{}.*^")]
+    return [urls.host_rule(name, verdict) for name, verdict in URL_RULES] + [urls.UrlRule(f"spam:{p}", p, "block") for p in patterns]
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,7 +185,10 @@ ORACLES: dict[str, str] = {
             from parts)
         select page_id, host, path, rule, case
             when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-            when regexp_matches(host, '(^|\.)(ads-track|casino-win|cheap-pills|free-bets)\.') then 'block'
+            when regexp_matches(split_part(host || path, '/', 1), '(^|[.-])({"|".join(SPAM_TOPICS)})[.-]') and host <> '' then 'block'
+            when regexp_matches(path, '-({"|".join(SPAM_TOPICS)})[.-]') and host <> '' then 'block'
+            when regexp_matches(host, '(^|\.)({"|".join(SPAM_TOPICS)})({"|".join(SPAM_NOUNS)})\.') then 'block'
+            when regexp_matches(path, '/({"|".join(AD_FOLDERS)})(/|\.)') and host <> '' then 'block'
             else 'allow' end as verdict
         from ruled""",
     "op3_minhash_near_dedup": rf"""
@@ -205,7 +226,7 @@ ORACLES: dict[str, str] = {
         found as materialized (select doc_id, i, runs.n, item_id from runs join patterns on runs.p = patterns.p and runs.n = patterns.n),
         hit as (select doc_id, count(distinct k) as n_hit from (select doc_id, unnest(range(i, i + n)) as k from found) group by doc_id),
         named as (
-            select doc_id, count(*) as n_items, string_agg(x, ',' order by x) as ids
+            select doc_id, count(x) as n_items, string_agg(x, ',' order by x) as ids
             from (select distinct doc_id, item_id::varchar as x from found) group by doc_id)
         select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
                sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
@@ -219,7 +240,7 @@ ORACLES: dict[str, str] = {
                sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
                coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
                sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-               sum(length(replace(replace(replace(role, '\', '\\'), '|', '\|'), ':', '\:')) + 4
+               sum(length(replace(replace(replace(replace(role, '\', '\\'), '|', '\|'), ':', '\:'), '<', '\<')) + 4
                    + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 7)::bigint as formatted_chars
         from rows group by conv_id""",
     "op10_substring_dedup": rf"""

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -111,16 +113,31 @@ def test_url_rules(spark):
         ("http://b.example.net/en/1?q#z", "b.example.net", "/en/1", "example.net/en/", "allow"), ("http://example.net/EN/", "example.net", "/EN/", "net/", "block"),
         ("http://xexample.com/de/", "xexample.com", "/de/", None, "allow"), ("x://example.com/de/#", "example.com", "/de/", "example.com/de/", "block"),
         ("http://w.org/fr/", "w.org", "/fr/", "org/fr/", "allow"), ("http://cheap-pills.org/fr/", "cheap-pills.org", "/fr/", "org/fr/", "allow"),
-        ("http://m.cheap-pills.org/en", "m.cheap-pills.org", "/en", "spam:cheap-pills", "block"), ("", "", "", None, "allow"),
+        ("http://m.cheap-pills.org/en", "m.cheap-pills.org", "/en", "spam:-pills.", "block"), ("", "", "", None, "allow"),
         ("a?u=http://net/x", "net", "/x", "net/", "block"),
     ]
     df = spark.createDataFrame([(i, c[0], "mine") for i, c in enumerate(cases)], "page_id int, url string, rule string")
-    for block in (50_000, 2):
+    for block in (50_000, 700):
         urls.BLOCK_RULES = block
         got = {r["row"]["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(df, url_rules()).collect()}
         assert [got[i] for i in range(len(cases))] == [c[1:] for c in cases]
 
 
+def test_the_block_list(spark):
+    """Families of hosts are blocked by their words, whole labels and neighbours are not; repeated, long and no urls."""
+    assert len(url_rules()) > 1000
+    hosts = {
+        "ads-track.example.com": True, "m.casino-win.org": True, "cheap-pills.com": True, "www.free-bets.com": True, "spam-farm.example.com": True,
+        "blog.adult-x.com": True, "pokerclub.com": True, "x.casino.com": True, "headset.com": False, "padsx.com": False, "betsy.com": False, "spamalot.org": False,
+    }
+    paths = {"/banners/1.gif": True, "/a/popunder.js?x": True, "/read/banners": False, "/free-pills.html": True, "/" + "a/" * 50_000: False}
+    rows = [(f"http://{h}/", bad) for h, bad in hosts.items()] + [(f"http://plain.org{p}", bad) for p, bad in paths.items()] * 2
+    df = spark.createDataFrame([(i, u, "x") for i, (u, _) in enumerate(rows)], "page_id int, url string, verdict string")
+    got = {r["row"]["page_id"]: r["verdict"] for r in urls.judge(df, url_rules()).collect()}
+    assert got == {i: "block" if bad else "allow" for i, (_, bad) in enumerate(rows)}
+    assert urls.judge(df.limit(0), url_rules()).collect() == []
+
+
 def test_rule_tokens():
     rule = urls.UrlRule("r", "||ads.example.com/*banner^", "block")
     assert rule.tokens() == ["ads", "example", "com"]
@@ -194,10 +211,10 @@ def test_quality_rules(docs):
         want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(hit), failed)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
         assert not (r["kept"] and failed)
-        if len(w) > 60 and not failed and len(w) < 300:
+        if len(w) > 60 and not failed and len(w) < 1000:
             longest = longest_repeats(w)
             cover = {k for i, n in enumerate(longest) if n >= 8 for k in range(i, i + n)}
-            loops = len(cover) > 0.3 * len(w) or (max(longest) > 50 and max(longest) > 0.25 * len(w))
+            loops = len(cover) > 0.3 * len(w) or max(longest) > 50
             assert r["kept"] == (not loops)
 
 
@@ -220,7 +237,7 @@ def test_quality_of_nothing(empty):
 def test_decontamination(spark, docs):
     rng = random.Random(1)
     passage = ROWS[6][1].split()
-    items = [(1, " ".join(passage[5:30])), (2, "Loop THE-loop!"), (10, prose(rng, 25)), (3, None), (4, "?!"), (5, "one"), (6, "one"), (10, " ".join(passage[40:52]))]
+    items = [(1, " ".join(passage[5:30])), (2, "Loop THE-loop!"), (10, prose(rng, 25)), (3, None), (4, "?!"), (5, "one"), (6, "one"), (10, " ".join(passage[40:52])), (None, " ".join(passage[33:45]))]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
 
     def plain(text):
@@ -243,7 +260,7 @@ def test_decontamination(spark, docs):
                     if tuple(w[i : i + len(p)]) == p:
                         found.add(item)
                         hit |= set(range(i, i + len(p)))
-            assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found))
+            assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found - {"None"}))  # an item without id hits, but has no name
     assert all(r["n_hit"] == 0 for r in decontaminate.scan(docs, bench.limit(0), ["doc_id"]).collect())
 
 
@@ -262,6 +279,32 @@ def test_sharding(docs):
     assert len(rows) == len(ROWS) and all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_owner_is_the_smallest_draw(spark):
+    """Draws made anew, from the definition, with another implementation of the hash."""
+    weights = [1.0, 2.5, 0.5, 1.0]
+
+    def owner(key):
+        seed = 42 if key is None else xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()
+        draws = [xxhash.xxh64(struct.pack("<i", s), seed=seed).intdigest() for s in range(len(weights))]
+        return min(range(len(weights)), key=lambda s: (-math.log(((draws[s] >> 11) + 0.5) / (1 << 53)) / weights[s], s))
+
+    keys = [None, 0, -1, 2**62, *range(1, 3000, 7)]
+    frame = spark.createDataFrame([(k, "x", 1) for k in keys], "id bigint, text string, slot int")
+    got = sharding.assign(frame, "id", weights)
+    assert {r["id"]: r["shard"] for r in got.collect()} == {k: owner(k) for k in keys}
+    rows = sharding.shard_documents(frame, weights, [*weights, 1.0], key="id").collect()
+    assert {r["doc_id"]: r["shard"] for r in rows} == {k: owner(k) for k in keys}
+    assert sharding.shard_documents(frame.limit(0), weights, weights, key="id").collect() == []
+
+
+def test_shards_are_written_as_folders(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"t{i}") for i in range(300)] + [(5, "again")] * 40, "id bigint, text string")
+    sharding.write_shards(frame, "id", [1.0, 1.0], str(tmp_path / "shards"), writers=3)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    want = {(r["id"], r["text"], r["shard"]) for r in sharding.assign(frame, "id", [1.0, 1.0]).collect()}
+    assert {(r["id"], r["text"], r["shard"]) for r in back.collect()} == want and back.count() == 340
+
+
 def test_weights_hold(spark):
     counts = sharding.assign(spark.range(20_000), "id", [1.0, 3.0]).groupBy("shard").count().collect()
     assert {r["shard"]: round(r["count"] / 20_000, 1) for r in counts} == {0: 0.2, 1: 0.8} or abs(counts[0]["count"] / 20_000 - 0.25) < 0.02 or abs(counts[0]["count"] / 20_000 - 0.75) < 0.02
@@ -385,13 +428,19 @@ HARD = ["", "plain", "\\", "<|end|>", "<\\|x|>", "<", "a<|assistant|>b\\", "\n",
 def test_every_text_comes_back():
     rng = random.Random(2)
     for _ in range(300):
-        turns = [(rng.choice(["user", "assistant", "a|b\\:", ""]), "".join(rng.choice(HARD) for _ in range(rng.randrange(4)))) for _ in range(4)]
+        turns = [(rng.choice(["user", "assistant", "a|b\\:", "", "a<", "<", "<|x|>", "end", "\\<"]), "".join(rng.choice(HARD) for _ in range(rng.randrange(4)))) for _ in range(4)]
         made = [chat.format_turn(r, t) for r, t in turns]
         assert [(r, t) for r, t, *_ in chat.parse("".join(m[0] for m in made))] == turns
         for (role, text), (formatted, span, _) in zip(turns, made):
             assert (chat.unescape(formatted[slice(*span)]) == text) if role == "assistant" else span == []
 
 
+@pytest.mark.parametrize("broken", ["plain", "<|user|>open", "<|user|>a<|end|>rest", "x<|user|>a<|end|>", "<|a<|>b<|end|>"])
+def test_what_is_no_turn_raises(broken):
+    with pytest.raises(ValueError):
+        chat.parse(broken)
+
+
 def test_typed_parts():
     content = '[{"type":"text","text":"see <|"},{"type":"image","ref":"i.png","width":1024,"height":600},{"type":"audio","ref":"a","seconds":2},{"type":"document","ref":"d","pages":3},{"type":"odd","x":1}]'
     formatted, _, media = chat.format_turn("user", content, typed=True)
