@@ -413,6 +413,67 @@ def test_classifier_on_rows_without_labels(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_weights_of_the_sparse_regression():
+    """The gradient of the penalized likelihood is zero at the weights."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 7)) * (rng.random((300, 7)) < 0.4)
+    y = (x @ np.arange(-3, 4) + rng.normal(size=300) > 0).astype(float)
+    row, column = np.nonzero(x)
+    w = classifier.logistic(classifier.Design(row, column, x[row, column], 300, 7), y, l2=0.5)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.abs(x.T @ (p - y) + 0.5 * w[:-1]).max() < 1e-4 and abs((p - y).sum()) < 1e-4
+
+
+def test_views_exchange_rows_that_they_are_certain_of(spark):
+    """One round by brute force: the rows drawn are the certain unlabelled ones with the smallest draws."""
+    docs, labels, rows = labelled(spark)
+    seen = []
+    train = classifier.co_train
+
+    def spy(sample, label, certain, rounds):
+        def once(model):
+            every = classifier._features(docs.select(F.col("doc_id").cast("string").alias("id"), "text", "source", "lang").withColumn("draw", F.xxhash64("id", "text")))
+            views = model.views(classifier.Rows.of(every))
+            got = certain(model)
+            seen.append((every, [v.copy() for v in views], got))
+            return got
+
+        return train(sample, label, once, 1)
+
+    classifier.co_train = spy
+    try:
+        classifier.fit(docs, labels, given=20)
+    finally:
+        classifier.co_train = train
+    (every, views, got), limit = seen[0], np.log(0.97 / 0.03)
+    marked = {str(r.doc_id) for r in labels.where("quality is not null and toxic is not null and doc_id is not null").collect()}
+    draws, ids = every["draw"].to_pylist(), every["id"].to_pylist()
+    some = 0
+    for (view, kind), found in got.items():
+        sure = [i for i, z in enumerate(views[view]) if (z >= limit if kind else z <= -limit) and ids[i] not in marked]
+        want = classifier.Rows.of(every).take(np.array(sorted(sorted(sure, key=lambda i: draws[i])[:20], key=lambda i: draws[i]), np.int64))
+        assert found.keys.tolist() == want.keys.tolist() and found.source == want.source
+        some += len(found)
+    assert some >= 40
+
+
+def test_every_source_has_a_weight_of_its_own():
+    view = classifier.MetaView()
+    rows = classifier.Rows(np.zeros(41, np.int64), np.zeros(0, np.uint64), np.zeros((40, 10)), [f"src{i % 19}" for i in range(38)] + [None, ""], ["_", " "] * 20)
+    view.fit(rows, np.array([i % 2 for i in range(40)], float))
+    design = view.design(rows)
+    assert len(set(design.column[design.row.argsort(kind="stable")][30::32].tolist())) == 21  # 19 sources, null and the empty one
+    other = view.design(classifier.Rows(np.zeros(2, np.int64), np.zeros(0, np.uint64), np.zeros((1, 10)), ["new"], [None]))
+    assert other.column[-2:].tolist() == [design.width - 2, design.width - 1]
+
+
+def test_null_labels_are_left_out(spark):
+    docs, labels, rows = labelled(spark)
+    more = spark.createDataFrame([(i, None, 1) for i in range(0, 400, 4)] + [(i, 0, None) for i in range(1, 400, 4)], labels.schema)
+    plain, odd = (classifier.classify(docs, x, ["doc_id"]).collect() for x in (labels, labels.unionByName(more)))
+    assert {r["row"]["doc_id"]: r["score"] for r in plain} == pytest.approx({r["row"]["doc_id"]: r["score"] for r in odd})
+
+
 def test_classifier_without_labels(spark, empty):
     docs, labels, rows = labelled(spark)
     assert classifier.classify(docs, labels.limit(0), ["doc_id"]).filter("kept").count() == len(rows)
