@@ -190,6 +190,16 @@ def document(grain_df: DataFrame) -> DataFrame:
     return _firsts(grain_df, DIMENSIONS).agg(*_headline(), *maps)
 
 
+def document_rows(answer: DataFrame) -> DataFrame:
+    """The entries of the maps of ``document`` as rows (section, key, n)."""
+    names = ["risk_distribution" if d == "risk_level" else f"incidents_by_{d}" for d in DIMENSIONS]
+
+    def entries(name: str) -> Column:
+        return F.transform(F.map_entries(name), lambda e: F.struct(F.lit(name).alias("section"), e.key.alias("key"), e.value.alias("n")))
+
+    return answer.select(F.inline(F.concat(*[entries(c) for c in names])))
+
+
 # ---- report metrics on the long counts -----------------------------------------------
 
 
@@ -249,18 +259,23 @@ def time_of_day_series(grain_df: DataFrame) -> DataFrame:
     return dense_series(grain_df, "time_of_day", V.TIME_OF_DAY_LABELS)
 
 
-def target_labels(grain_df: DataFrame) -> DataFrame:
-    """Target counts under display labels; one placeholder row when there is nothing."""
-    rows = by_one(grain_df, "target_object").select(
-        T.lookup(F.col("target_object"), V.TARGET_LABELS, F.col("target_object")).alias("label"),
-        F.col("n").alias("value"),
-    )
+def _labelled(grain_df: DataFrame, column: str, labels: dict[str, str]) -> DataFrame:
+    """Counts of a dimension under display labels; one placeholder row when there is nothing."""
+    rows = by_one(grain_df, column).select(T.lookup(F.col(column), labels, F.col(column)).alias("label"), F.col("n").alias("value"))
     empty = grain_df.agg(F.count(F.lit(1)).alias("rows")).where("rows = 0").select(
         F.lit(V.EMPTY_LABEL).alias("label"), F.lit(1).cast("bigint").alias("value")
     )
     return rows.unionByName(empty)
 
 
+def target_labels(grain_df: DataFrame) -> DataFrame:
+    return _labelled(grain_df, "target_object", V.TARGET_LABELS)
+
+
+def method_labels(grain_df: DataFrame) -> DataFrame:
+    return _labelled(grain_df, "attack_method", V.METHOD_LABELS)
+
+
 def heatmap_rows(grain_df: DataFrame) -> DataFrame:
     return by_one(grain_df, "hour").select(
         F.lit(V.HEATMAP_DAY).alias("day"),

@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from incidentlake import fixed_values as V
 from incidentlake.functions import timecols as T
 from incidentlake.operators import stats as S
 from incidentlake.operators.stats import IncidentFilters
@@ -103,6 +104,21 @@ def _(d):
     return S.document(_grain(d))
 
 
+@query("stats_document_rows", oracle("enriched", f"""
+select case dimension when 'risk_level' then 'risk_distribution' else 'incidents_by_' || dimension end as section, key, n from (
+  select *, row_number() over (partition by dimension order by n desc, key) as rn from ({_dimension_sql}))
+where dimension <> 'region' or rn <= 15"""))
+def _(d):
+    return S.document_rows(S.document(_grain(d)))
+
+
+@query("method_labels", oracle("enriched", f"""
+select case attack_method {" ".join(f"when '{k}' then '{v}'" for k, v in V.METHOD_LABELS.items())} else attack_method end as label, count(*) as value
+from enriched group by 1"""))
+def _(d):
+    return S.method_labels(_grain(d))
+
+
 @query("filter_incidents", oracle("incidents", f"select {_columns_sql} from incidents where {_all_filters_sql}"))
 def _(d):
     return S.filter_incidents(d.incidents, _filters).select(*_incident_columns)
