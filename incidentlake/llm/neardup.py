@@ -9,10 +9,12 @@ bitmaps tells how many samples differ. Work:
 2. Every class is linked to the smallest class of each of its band buckets, and to the most similar of
    the classes that its buckets draw by hash, if the odd sketches allow a similarity near the limit and
    the full sets confirm it. Components of these links are formed.
-3. In buckets that still hold several components, classes of different components are compared in pairs,
-   inside the join: sizes, sketches and an exact bound from the parities of the full sets let through
-   little but true links, which the full sets confirm. So every pair of a bucket is either compared or
-   known to be connected, and no bucket has a cap.
+3. In buckets that still hold several components, classes of different components are compared: sizes,
+   sketches and an exact bound from the parities of the full sets let through little but true links,
+   which the full sets confirm. In a bucket of at most ``CROWD`` such classes that is done in pairs, inside
+   the join. Classes of larger buckets (pages of one template that are alike, but not near duplicates) meet
+   only where they share a rare shingle: two sets at the limit must share one of the rarest few of each, of
+   which more than ``overlap - 1`` are left in both. That holds for every pair, so no bucket has a cap.
 
 At similarity 0.8 a pair shares no bucket with a chance below 1e-7, and the sketch cut is 5.5 standard
 deviations away. Null texts and texts without words are linked with nothing. Repeated rows are copies.
@@ -21,6 +23,8 @@ Rows with a null id are compared as well; a component's id is its smallest id th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,8 +33,13 @@ from pyspark.sql import functions as F
 from incidentlake.llm.graph import components
 from incidentlake.llm.tables import written
 from incidentlake.llm.words import Words, annotate, mix, windows
+from incidentlake.operators.skew import hot_values, spread_join
 
 BANDS, ROWS, SKETCH_BITS, SET_BITS = 32, 4, 256, 1024
+CROWD = 64  # classes of a bucket that are compared in pairs
+SLOTS = 1 << 20  # counters for the order of shingles, rare ones first; it only decides the speed
+HUB = 500  # classes of a component whose names are handed out by several tasks, if it is a large share
+PASS_VALUES = 1 << 18  # shingles per numpy pass
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
 
@@ -105,8 +114,75 @@ def _close(x: Column, y: Column, percent: int) -> Column:
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Members with their root, of the buckets that hold several components."""
     rooted = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    return rooted.join(mixed, "bucket", "left_semi")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("held")).filter("lo <> hi")
+    return rooted.join(mixed.select("bucket", "held"), "bucket")
+
+
+def _slots(shingle: np.ndarray) -> np.ndarray:
+    return (mix(shingle) >> np.uint64(44)).astype(np.int64) % SLOTS
+
+
+def _values(sets: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles, and the number of each row's."""
+    return sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sets.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters of one task."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        found, _ = _values(batch.column("set"))
+        for lo in range(0, len(found), PASS_VALUES):
+            np.add.at(total, _slots(found[lo : lo + PASS_VALUES]), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "n"])
+
+
+def _rare_first(found: np.ndarray, size: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and shingle of the rarest shingles of each set, one of which any set at the limit must share."""
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((found, often[_slots(found)], row))
+    place = np.arange(len(found)) - np.repeat(np.cumsum(size) - size, size)
+    needed = size - (percent * size + 99) // 100 + 1
+    front = place < needed[row]
+    return row[front], place[front], found[order][front]
+
+
+def _crowded_pairs(crowd: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots, of all classes in ``crowd`` (rid, root, set), that can be at the limit.
+
+    Shingles have one order, rare ones first. If the first one that two sets share stands at the places i and
+    j, they share at most ``min(n - i, m - j)``; at the limit they share ``percent * (n + m) / (100 + percent)``.
+    Places up to that are few, and common shingles are not among them unless both sets hold hardly others.
+    """
+    spark = crowd.sparkSession
+    counts = crowd.select("set").mapInArrow(_counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    often = np.zeros(SLOTS, np.int64)
+    often[counts["slot"].to_numpy()] = counts["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, size = _values(batch.column("set"))
+            end = np.cumsum(size)
+            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(end // PASS_VALUES)) + 1, len(size)])
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                mine = found[end[lo] - size[lo] : end[hi - 1]]
+                row, place, shingle = _rare_first(mine, size[lo:hi], shared.value, percent)
+                at = pa.array(row + lo)
+                left = [batch.column(c).take(at) for c in ("rid", "root")]
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), *left, pa.array(size[row + lo]), pa.array(place)], ["h", "rid", "root", "n", "i"])
+
+    front = written(crowd.select("rid", "root", "set").mapInArrow(fronts, "h bigint, rid bigint, root bigint, n bigint, i bigint"), "fronts")
+    hot = hot_values(front.groupBy("h").agg(F.count("*").alias("n")), "h")
+    small = front.filter((100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n")).withColumnsRenamed({"rid": "a", "root": "root_a", "n": "n_a", "i": "i_a"})
+    large = front.withColumnsRenamed({"rid": "b", "root": "root_b", "n": "n_b", "i": "i_b"})
+    left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    meet = (
+        (F.col("root_a") != F.col("root_b")) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b"))))
+        & (100 * F.col("n_a") >= percent * F.col("n_b")) & ((100 + percent) * left >= percent * (F.col("n_a") + F.col("n_b")))
+    )
+    return spread_join(small, large, "h", "a", hot).filter(meet).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -150,22 +226,32 @@ def near_duplicates(docs: DataFrame, keep: list[str], k: int = 5, percent: int =
     links = written(_confirmed(tried.filter("first").select("a", "b").unionByName(best).distinct(), sets, percent), "links")
     roots = components(links)
 
-    # 3. all pairs of different components of a bucket that the bounds allow
-    left = written(_open(members, roots).filter("rid <> center").select("bucket", "rid", "root").join(near, "rid"), "open")
-    a, b = left.alias("p"), left.alias("q")
+    # 3. what the bounds allow of the pairs of different components of a bucket
+    left = written(_open(members, roots).filter("rid <> center").select("bucket", "rid", "root", "held"), "open")
+    few = left.filter(F.col("held") <= CROWD).join(near, "rid")
+    a, b = few.alias("p"), few.alias("q")
     meet = (
         (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.rid") < F.col("q.rid")) & (F.col("p.root") != F.col("q.root"))
         & _close(F.col("p.v"), F.col("q.v"), percent)
     )
-    rest = a.join(b, meet).select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b")).distinct()
-    more = written(_confirmed(rest, sets, percent), "links")
+    rest = a.join(b, meet).select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b"))
+    crowd = left.filter(F.col("held") > CROWD).select("rid", "root").distinct()
+    if not crowd.isEmpty():
+        met = _crowded_pairs(written(sets.select("rid", "set").join(crowd, "rid"), "crowd"), percent)
+        met = met.join(near.select(F.col("rid").alias("a"), F.col("v").alias("x")), "a").join(near.select(F.col("rid").alias("b"), F.col("v").alias("y")), "b")
+        rest = rest.unionByName(met.filter(_close(F.col("x"), F.col("y"), percent)).select("a", "b"))
+    more = written(_confirmed(rest.distinct(), sets, percent), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    # ids of the components, for every row
-    joined = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    best = joined.groupBy("root").agg(F.min(F.struct(F.col("cls_id").isNull().alias("none"), F.col("cls_id").alias("id"), F.col("cls").alias("rid"))).alias("best"))
-    named = joined.join(best, "root").select("s1", "s2", "n", F.col("best.id").alias("component_id"), F.col("best.rid").alias("first_rid"))
+    # ids of the components, for every row; a class without links is its own
+    least = F.min(F.struct(F.col("cls_id").isNull().alias("none"), F.col("cls_id").alias("id"), F.col("cls").alias("rid"))).alias("best")
+    linked = written(classes.join(roots.withColumnRenamed("node", "cls"), "cls"), "linked")
+    best = written(linked.groupBy("root").agg(least, F.count("*").alias("n")), "best")
+    most = best.agg(F.sum("n")).scalar()
+    hot = [r[0] for r in best.filter((F.col("n") >= HUB) & (200 * F.col("n") >= most)).select("root").collect()]  # at most 200
+    lone = classes.join(linked.select("cls"), "cls", "left_anti").select("s1", "s2", "n", F.col("cls_id").alias("component_id"), F.col("cls").alias("first_rid"))
+    named = spread_join(linked, best.drop("n"), "root", "cls", hot).select("s1", "s2", "n", F.col("best.id").alias("component_id"), F.col("best.rid").alias("first_rid")).unionByName(lone)
     out = signed.select("keep", "id", "n", "s1", "s2", "rid").join(named, ["s1", "s2", "n"], "left")
     lone = F.col("n") == 0
     return out.select(

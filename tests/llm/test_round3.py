@@ -9,8 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import DDL, corpus, words_of
-from incidentlake.llm import bisector, langid, runs
+from helpers import DDL, components, corpus, prose, words_of
+from incidentlake.llm import bisector, langid, neardup, runs
 from incidentlake.llm.queries import op11_language_id
 
 ROWS = corpus()
@@ -285,3 +285,51 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
     rows = op11_language_id(spark, sf).join(truth, "doc_id").filter("held_out").collect()
     assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+
+
+# near duplicates in crowded buckets
+
+
+def family(rng, n, template, own):
+    base = prose(rng, template)
+    return [f"{base} {prose(rng, own, 10**7)}" for _ in range(n)]
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_rare_shingles_find_what_all_pairs_find(spark, monkeypatch, k):
+    monkeypatch.setattr(neardup, "CROWD", 1)
+    monkeypatch.setattr(neardup, "HUB", 2)
+    rng = random.Random(k)
+    texts = family(rng, 40, 80, 14) + family(rng, 30, 60, 8) + [t for t in family(rng, 12, 50, 9) for _ in range(2)] + [None, "", "one"]
+    for own in range(0, 30, 2):  # sizes all around the limit, some sets inside others
+        words = texts[0].split()
+        texts += [" ".join(words[:80] + prose(rng, own, 10**7).split()), " ".join(words[: 94 - own])]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), ["doc_id"], k=k).collect()
+    want, _ = components(rows, k, 80)
+    assert {r["row"]["doc_id"]: r["component_id"] for r in got} == want
+    assert 3 < len(set(want.values())) < len(rows)
+
+
+def test_rare_first_keeps_one_shared_shingle_of_every_pair_at_the_limit():
+    rng = np.random.default_rng(5)
+    often = rng.integers(0, 5, neardup.SLOTS)
+    for _ in range(300):
+        shared, x, y = (int(v) for v in (rng.integers(1, 60), rng.integers(0, 9), rng.integers(0, 9)))
+        values = rng.permutation(np.arange(1, 1 + shared + x + y, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        sets = [np.sort(values[: shared + x]), np.sort(np.r_[values[:shared], values[shared + x :]])]
+        size = np.array([len(s) for s in sets])
+        row, place, shingle = neardup._rare_first(np.concatenate(sets), size, often, 80)
+        fronts = [dict(zip(shingle[row == r].tolist(), place[row == r].tolist())) for r in (0, 1)]
+        met = any(180 * min(size[0] - i, size[1] - fronts[1][h]) >= 80 * size.sum() for h, i in fronts[0].items() if h in fronts[1])
+        assert met or 100 * shared < 80 * (shared + x + y)
+
+
+def test_a_large_template_family_is_compared_by_its_rare_shingles(spark):
+    rng = random.Random(6)
+    texts = family(rng, 1500, 100, 24)  # alike at 0.67: every page meets every other in some bucket
+    near = texts[7].split()
+    near[-1] = "changed"
+    rows = [(i, t) for i, t in enumerate([*texts, " ".join(near)])]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), ["doc_id"], k=2).collect()
+    assert {r["row"]["doc_id"]: r["component_id"] for r in got} == {**{i: i for i in range(1500)}, 1500: 7}
