@@ -31,8 +31,11 @@ select incident_id, upper(industry) as industry, ' ' || organization_code as org
        case when incident_id % 41 = 0 then '2' else cast(success as varchar) end as success,
        case when incident_id % 43 = 0 then null else ' ' || region || ' ' end as region,
        case when incident_id % 101 = 0 then 'garbage' when incident_date is null then ''
-            when incident_id % 5 = 0 then strftime(incident_date, '%Y-%m-%d') else strftime(incident_date, '%d.%m.%Y') end as incident_date,
+            when incident_id % 5 = 0 then strftime(incident_date, '%Y-%m-%d') when incident_id % 5 = 1 then strftime(incident_date, '%-d/%-m/%Y')
+            when incident_id % 5 = 2 then strftime(incident_date, '%d-%m-%y') else strftime(incident_date, '%d.%m.%Y') end as incident_date,
        case when incident_id % 4 = 0 then strftime(regional_time, '%Y-%m-%d %H:%M:%S')
+            when incident_id % 4 = 1 then strftime(regional_time, '%Y-%m-%dT%H:%M:%S') || '.25'
+            when incident_id % 4 = 2 then strftime(regional_time, '%d/%m/%y %-H:%M')
             else strftime(regional_time, '%d.%m.%Y %H:%M') end as regional_time
 from incidents_raw""")
 
@@ -42,8 +45,10 @@ def _sql_int(c: str) -> str:
 
 
 def _sql_time(c: str) -> str:
-    formats = ("%d.%m.%Y %H:%M:%S", "%d.%m.%Y %H:%M", "%d.%m.%Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d")
-    return "coalesce(" + ", ".join(f"try_strptime(trim({c}), '{f}')" for f in formats) + ")"
+    # two-digit years first: %Y would read 21 as the year 21
+    days = [f"%d{mark}%m{mark}%{year}" for mark in "./-" for year in ("y", "Y")] + ["%Y-%m-%d"]
+    formats = [day + clock for day in days for clock in ("", " %H:%M", " %H:%M:%S", " %H:%M:%S.%f")]
+    return f"try_strptime(replace(trim({c}), 'T', ' '), {quoted(formats)})"
 
 
 VIEW_SQL["typed_incidents"] = (("raw_incidents",), f"""
@@ -111,8 +116,10 @@ def raw_incidents(d: Domain) -> DataFrame:
         F.when(i % 41 == 0, "2").otherwise(F.col("success").cast("string")).alias(_H[4]),
         F.when(i % 43 != 0, F.concat(F.lit(" "), "region", F.lit(" "))).alias(_H[5]),
         F.when(i % 101 == 0, "garbage").when(day.isNull(), "").when(i % 5 == 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(i % 5 == 1, F.date_format(day, "d/M/yyyy")).when(i % 5 == 2, F.date_format(day, "dd-MM-yy"))
         .otherwise(F.date_format(day, "dd.MM.yyyy")).alias(_H[6]),
-        F.when(i % 4 == 0, F.date_format(time, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(time, "dd.MM.yyyy HH:mm")).alias(_H[7]),
+        F.when(i % 4 == 0, F.date_format(time, "yyyy-MM-dd HH:mm:ss")).when(i % 4 == 1, F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'.25'"))
+        .when(i % 4 == 2, F.date_format(time, "dd/MM/yy H:mm")).otherwise(F.date_format(time, "dd.MM.yyyy HH:mm")).alias(_H[7]),
     )
 
 
