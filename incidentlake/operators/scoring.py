@@ -11,6 +11,7 @@ from incidentlake import fixed_values as V
 from incidentlake.functions import timecols as T
 from incidentlake.functions.numbers import round2
 from incidentlake.operators.intensity import attack_intensity
+from incidentlake.session import materialized
 
 
 def heuristic_method(asset: str | Column) -> Column:
@@ -183,24 +184,31 @@ def fill_request_defaults(requests: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
-def method_target_fallback(requests: DataFrame, grain_org: DataFrame, grain_region: DataFrame) -> DataFrame:
-    """Most frequent method and target of the organization, else of the region, else by asset.
+def _favourites(folded: DataFrame, key: str, names: tuple[str, str, str]) -> DataFrame:
+    """(key, method, target) under ``names``: the most frequent of each key; ties go to the value met first."""
+    counts = (
+        folded.unpivot([key, "n", "first_id"], ["attack_method", "target_object"], "what", "value")
+        .groupBy(key, "what", "value")
+        .agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
+    )
 
-    ``grain_org`` and ``grain_region`` are statistics grains keyed by organization and region.
-    """
-    from incidentlake.operators.stats import top_of
+    def best(what: str, name: str) -> Column:
+        rank = F.when(F.col("what") == what, F.struct(F.col("n"), -F.col("first_id")))
+        return F.max_by("value", rank).alias(name)
 
-    def tops(grain, key, prefix):
-        methods = top_of(grain, "attack_method", (key,)).select(
-            F.col(key).alias(f"{prefix}_key"), F.col("top_attack_method").alias(f"{prefix}_method")
-        )
-        targets = top_of(grain, "target_object", (key,)).select(
-            F.col(key).alias(f"{prefix}_key"), F.col("top_target_object").alias(f"{prefix}_target")
-        )
-        return methods.join(targets, f"{prefix}_key")
+    return counts.groupBy(F.col(key).alias(names[0])).agg(best("attack_method", names[1]), best("target_object", names[2]))
 
-    org = tops(grain_org, "organization_code", "org")
-    region = tops(grain_region, "region", "region")
+
+def method_target_fallback(requests: DataFrame, grain: DataFrame) -> DataFrame:
+    """Most frequent method and target of the organization, else of the region, else by asset.
+
+    ``grain`` is the statistics grain keyed by organization, which also has the region. It is folded to
+    (organization, region, method, target) counts once; both levels come from these.
+    """
+    keys = ("organization_code", "region", "attack_method", "target_object")
+    folded = materialized(grain.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id")))
+    org = _favourites(folded, "organization_code", ("org_key", "org_method", "org_target"))
+    region = _favourites(folded, "region", ("region_key", "region_method", "region_target"))
     return (
         requests.join(org, F.col("organization_id") == F.col("org_key"), "left")
         .join(region, F.col("region") == F.col("region_key"), "left")

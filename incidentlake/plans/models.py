@@ -354,11 +354,7 @@ def _(d):
 
 @query("predict_ml_temporal")
 def _(d):
-    fallback = scoring.method_target_fallback(
-        d.requests,
-        stats.grain(d.incidents, d.registry, by=("organization_code",)),
-        stats.grain(d.incidents, d.registry),
-    )
+    fallback = scoring.method_target_fallback(d.requests, stats.grain(d.incidents, d.registry, by=("organization_code",)))
     ml = region_risk.predict_requests(_trained(d), d.requests, _recent_grid(d), fallback, AS_OF.date())
     df = scoring.predict(d.requests, d.incidents, tables.recommendations_table(d.spark), AS_OF, ml)
     return df.select("request_id", "prefer_ml", "predicted_attack_method", "predicted_target_object", "confidence", "risk_score")

@@ -287,6 +287,5 @@ left join org_t ot on ot.organization_code = q.organization_id and ot.rn = 1
 left join reg_m rm on rm.region = q.region and rm.rn = 1
 left join reg_t rt on rt.region = q.region and rt.rn = 1"""))
 def _(d):
-    by_org = stats.grain(d.incidents, d.registry, by=("organization_code",))
-    by_region = stats.grain(d.incidents, d.registry)
-    return scoring.method_target_fallback(d.requests, by_org, by_region).select("request_id", "method", "target")
+    grain = stats.grain(d.incidents, d.registry, by=("organization_code",))
+    return scoring.method_target_fallback(d.requests, grain).select("request_id", "method", "target")
