@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
 from incidentlake import schema
 from incidentlake.functions import timecols as T
+from incidentlake.operators.skew import numbered
 from incidentlake.session import local_table
 
 
@@ -194,15 +195,12 @@ def read_settings(stored: DataFrame) -> DataFrame:
 
 
 def rules_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Mapping rules in order, built in or from JSON documents, which count in the order of their names.
-
-    A rule set is a configuration that people write, so one task may number it.
-    """
+    """Mapping rules in order, built in or from JSON documents, which count in the order of their names and are numbered by ranges."""
     if path is None:
         return local_table(spark, [(i, list(r[0]), *r[1:]) for i, r in enumerate(V.MAPPING_RULES)], schema.RULES)
     document = spark.read.schema(schema.RULES_JSON).option("multiLine", True).json(path)
-    placed = document.select(F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"), "*")
-    ordered = placed.withColumn("rule_ord", F.row_number().over(Window.orderBy("_file", "_row")) - 1)
+    placed = document.select(F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")).alias("_at"), "*")
+    ordered = numbered(placed, "_at", "_n").withColumn("rule_ord", (F.col("_n") - 1).cast("int"))
     return ordered.select("rule_ord", "tokens", "threat_id", "match_score", "reason", "recommendation_method")
 
 
