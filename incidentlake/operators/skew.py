@@ -9,6 +9,7 @@ from incidentlake.session import materialized
 
 SALTS = 32
 SHARE = 200  # a hot value holds at least one row in so many, so there are no more hot values than that
+SENT_BYTES = 8 << 20  # a side of a join that is sent to every task
 LEAST = 10_000  # a value with fewer rows is no burden to a task
 
 
@@ -29,6 +30,21 @@ def spread_join(big: DataFrame, small: DataFrame, on: str, part: str, hot: list)
     return big.withColumn("_salt", salt).join(small.withColumn("_salt", F.explode(copies)), [on, "_salt"]).drop("_salt")
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether a checkpointed frame may be sent to every task, by the characters in it.
+
+    Spark's estimate for a checkpoint is that of the plan it came from: it multiplies the sizes of joins and knows
+    nothing of exploded lists, so it takes the larger side of a join for the smaller one.
+    """
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.length(F.to_json(F.struct("*")))).alias("chars")).first()
+    return 40 * size.rows + 2 * (size.chars or 0) <= SENT_BYTES
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A checkpointed small side of a join: sent to every task if it fits, else merged, never the other side sent."""
+    return F.broadcast(df) if fits(df) else df.hint("merge")
+
+
 def numbered(df: DataFrame, order: str, number: str) -> DataFrame:
     """Rows numbered from 1 in the order of a column, by ranges: only one count per range is summed up.
 

@@ -1,18 +1,22 @@
 """Vulnerability to threat mapping by token rules.
 
-Texts and rules meet in an equi-join, whatever their number: every token is filed under the rarest of its
-three-character pieces, counted over all texts, and a text looks up only the pieces it has. The few
+Rules that fit into a broadcast go to the texts, which are searched for all tokens at once, batch by batch, and
+never shuffled for it. A larger table of rules meets the texts in an equi-join: every token is filed under the
+rarest of its three-character pieces, counted over all texts, and a text looks up only the pieces it has. The few
 candidates are then checked in full. Pieces and tokens that many texts share are spread over tasks.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from incidentlake import fixed_values as V
-from incidentlake.operators.skew import hot_values, spread_join
-from incidentlake.session import materialized
+from incidentlake.operators import tokensearch
+from incidentlake.operators.skew import fits, hot_values, numbered, sized, spread_join
+from incidentlake.session import local_table, materialized
 
 GRAM = 3
 
@@ -75,36 +79,49 @@ def _pieces(text: Column, sizes: list[int]) -> Column:
 def match_rows(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(_key, threat_id, match_score, reason, recommendation_method, first_ord): the rule that wins per text and threat.
 
-    A token can only occur in a text that contains all of its pieces, so it waits under the piece that the
-    fewest texts have; a token with a piece that no text has is dropped. Shorter tokens are their own piece,
-    and a ``*`` is the empty token, which every text contains. Texts travel by key until the check in full.
+    A token can only occur in a text that contains all of its pieces, so it waits under the rarest piece; a token
+    with a piece that no text has is dropped. Shorter tokens are their own piece, and a ``*`` is the empty token,
+    which every text contains. Texts travel by key until the check in full.
     """
-    rules = rules.withColumn("rule", F.struct("rule_ord", "_details"))
-    said = rules.select("rule", F.explode("tokens").alias("said"))
-    listed = materialized(said.select("rule", F.when(F.col("said") == "*", "").otherwise(F.lower("said")).alias("token")).distinct())
+    found = F.struct("threat_id", "match_score", "reason", "recommendation_method")
+    said = rules.select(F.struct("rule_ord", "_details").alias("rule"), "rule_ord", "threat_id", "tokens", found.alias("found")).distinct()
+    ranked_rules = materialized(numbered(said, "rule", "rank"))  # the rank is a number, so the last rule is a hash aggregate
+    words = ranked_rules.select("rank", "rule_ord", "threat_id", F.explode("tokens").alias("said"))
+    word = F.when(F.col("said") == "*", "").otherwise(F.lower("said"))
+    listed = materialized(words.select("rank", "rule_ord", "threat_id", word.alias("token")).distinct())
+    hits = _sent(texts, listed) if fits(listed) else _met(texts, listed)
+    best = hits.groupBy("_key", "threat_id").agg(F.max("rank").alias("rank"), F.min("rule_ord").alias("first_ord"))
+    return best.drop("threat_id").join(sized(ranked_rules.select("rank", "found")), "rank").select("_key", "found.*", "first_ord")
+
+
+def _sent(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """(_key, rank, rule_ord, threat_id) of the tokens found, where the rules go to every task and texts stay where they are."""
+    tokens = sorted(r[0] for r in listed.select("token").distinct().collect())  # as small as a side that is broadcast
+    found = texts.select("_key", "_text").mapInArrow(partial(tokensearch.search, tokens), "_key binary, places array<int>")
+    numbers = local_table(texts.sparkSession, list(enumerate(tokens)), "place int, token string")
+    ruled = materialized(listed.join(sized(numbers), "token").drop("token"))
+    return found.select("_key", F.explode("places").alias("place")).join(F.broadcast(ruled), "place").drop("place")
+
+
+def _met(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """The same where the rules are a large table: tokens wait under their rarest pieces and meet the texts in joins."""
     tokens = listed.select("token").distinct().withColumn("size", F.least(F.length("token"), F.lit(GRAM)))
     sizes = sorted(r[0] for r in tokens.select("size").distinct().collect())
     of_token = F.array(F.lit(""))
     for n in (x for x in sizes if x):
         of_token = F.when(F.col("size") == n, _pieces(F.col("token"), [n])).otherwise(of_token)
     filed = tokens.select("token", F.explode(of_token).alias("piece"))
-    heads = texts.select("_key", F.explode(_pieces(F.col("_text"), sizes) if sizes else F.array().cast("array<string>")).alias("piece"))
-    counts = materialized(heads.join(filed.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
+    heads = texts.select("_key", F.explode(_pieces(F.col("_text"), sizes)).alias("piece")).hint("merge")
+    wanted = materialized(filed.select("piece").distinct())
+    counts = materialized(heads.join(sized(wanted), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
     # no count: no text has the piece; nulls come first here, so such a token is filed nowhere
     ranked = filed.join(counts, "piece", "left").groupBy("token").agg(F.min(F.struct("n", "piece")).alias("least"))
     waiting = materialized(ranked.where("least.n is not null").select("token", F.col("least.piece").alias("piece")))
     used = counts.join(waiting.select("piece").distinct(), "piece", "left_semi")
     candidates = spread_join(heads, waiting, "piece", "_key", hot_values(used, "piece")).select("_key", "token")
-    hits = materialized(candidates.join(texts, "_key").where(F.contains("_text", F.col("token"))).select("_key", "token"))
+    hits = materialized(candidates.join(texts.hint("merge"), "_key").where(F.contains("_text", F.col("token"))).select("_key", "token"))
     busy = hot_values(hits.groupBy("token").agg(F.count(F.lit(1)).alias("n")), "token")
-    found = F.struct("threat_id", "match_score", "reason", "recommendation_method")
-    details = listed.join(rules.select("rule", "rule_ord", "threat_id", found.alias("found")).distinct(), "rule")
-    return (
-        spread_join(hits, details, "token", "_key", busy)
-        .groupBy("_key", "threat_id")
-        .agg(F.max_by("found", "rule").alias("found"), F.min("rule_ord").alias("first_ord"))
-        .select("_key", "found.*", "first_ord")
-    )
+    return spread_join(hits.hint("merge"), listed, "token", "_key", busy).drop("token")
 
 
 def exploded(matched: DataFrame) -> DataFrame:
