@@ -66,6 +66,15 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, rows: int, by: str, least: int) -> DataFrame:
+    """A frame of ``rows`` rows that many passes work on, dealt evenly by a hash of ``by``: tasks of ``least`` rows, at most two a core.
+
+    Spark sizes partitions by bytes, which says nothing of the work on a row.
+    """
+    parts = min(-(-rows // least), 2 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(max(1, parts), by)
+
+
 def concurrently(spark: SparkSession, jobs: list[Callable], most: int = 4) -> list:
     """Results of independent jobs, in their order, at most ``most`` of them under way at a time.
 
