@@ -4,8 +4,8 @@ MLlib ends boosting at the first round that gains less than its tolerance, and c
 model that is there. Here rounds are fitted in growing blocks without that test; after each block the loss of
 every prefix is taken from one pass over the held-out rows. Boosting ends once ``patience`` rounds
 have brought nothing better, or at the most rounds allowed, and the trees after the best prefix are cut off.
-A block of twice the rounds repeats those before it (same seed, same checkpointed rows, so the same
-trees), which costs at most as much again; MLlib checkpoints its residuals every ten rounds.
+A block of three times the rounds repeats those before it (same seed, same checkpointed rows, so the same
+trees), 400 rounds at most before the last block of 700; MLlib checkpoints its residuals every ten rounds.
 """
 
 from __future__ import annotations
@@ -68,4 +68,4 @@ def fit(
         best, ended = best_prefix(losses, patience)
         if ended or rounds >= params["iterations"]:
             return Boosted(truncated(model, best), losses[: best + patience])
-        rounds *= 2
+        rounds *= 3

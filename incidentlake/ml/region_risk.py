@@ -18,7 +18,7 @@ from incidentlake.functions.numbers import round2
 from incidentlake.ml import boosting
 from incidentlake.operators import metrics as M
 from incidentlake.operators import regionhour as R
-from incidentlake.session import concurrently, materialized
+from incidentlake.session import concurrently, dealt, materialized
 
 # known only after the hour has passed; left out unless asked for
 CURRENT_HOUR = ("incidents_count", "unique_enterprises", "unique_threats", "threat_danger_score")
@@ -46,6 +46,9 @@ def with_probability(scored: DataFrame) -> DataFrame:
     return scored.withColumn("proba", vector_to_array("probability")[1])
 
 
+TASK_ROWS = 20_000
+
+
 @dataclass
 class RiskModel:
     model: PipelineModel
@@ -86,6 +89,7 @@ class _Table:
         features, categorical = feature_columns(prepared, include_current)
         encoder = _encoder(features, categorical).fit(prepared)
         rows = encoder.transform(prepared).select("features", "attack_present", "position", "fold_starts", "val_fold")
+        rows = dealt(rows, prepared.count(), "position", TASK_ROWS)  # every depth of every tree is a job: no tiny tasks, no large ones
         return cls(encoder, materialized(rows), features, categorical, _bins(prepared, categorical))
 
     def fit(self, fold: int, params: dict, seed: int, patience: int) -> tuple[PipelineModel, DataFrame, dict]:
