@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from incidentlake.llm.tables import written
-from incidentlake.llm.words import ALNUM_WORDS, SPACE_WORDS, Words, slices
+from incidentlake.llm.words import ALNUM_WORDS, SPACE_WORDS, Words, bounded, slices
 
 
 def _slices(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -336,7 +336,7 @@ def fit(
                 kinds = (pa.int32(), pa.int32(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["view", "kind", "draw", "id"])
 
-        wide = rows.select(F.struct("id", "draw", "source", "lang").alias("row"), "text")
+        wide = bounded(rows).select(F.struct("id", "draw", "source", "lang").alias("row"), "text")
         named = written(wide.mapInArrow(name, "view int, kind int, draw bigint, id string").join(marked, "id", "left_anti"), "certain")
         chosen: dict[int, list[tuple[int, int]]] = {}
         for view in (0, 1):
@@ -364,7 +364,7 @@ def _annotated(df: DataFrame, fn, fields: str, keep: list[str]) -> DataFrame:
                 columns = pa.StructArray.from_arrays(part.flatten(), part.type.names)
                 yield pa.RecordBatch.from_arrays([part, *fn(texts.slice(lo, hi - lo), columns)], names)
 
-    made = df.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"))
+    made = bounded(df).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"))
     names = ["row", *StructType.fromDDL(fields).names]
     return made.mapInArrow(run, f"row {made.schema['row'].dataType.simpleString()}, {fields}")
 
