@@ -117,3 +117,19 @@ def test_large_tables_get_the_same_forest_from_counts(spark, monkeypatch):
     assert small.keys() == large.keys() and len(large) == 200
     gaps = [abs(a[k] - b[k]) for r in large for a, b in zip(small[r], large[r]) for k in a]
     assert np.mean(gaps) < 0.05
+
+
+def test_results_of_a_large_table_name_every_request(spark, monkeypatch):
+    """Without MLlib's fit: one row per request, the labels that the rows teach, the number of all rows."""
+    ddl = "incident_id bigint, organization_code string, region string, industry string, season string, day_of_week int, hour int, " \
+        "has_external_access string, privileged_accounts_count int, known_vulnerabilities_count int, attack_method string, target_object string"
+    made = [(i, f"o{i % 3}", "RST"[i % 3], "i", "winter", 1 + i % 7, i % 24, "True", 1, 1, "ab"[i % 24 > 11], "cd"[i % 24 > 11]) for i in range(600)]
+    monkeypatch.setattr(forest, "TASK_ROWS", 100)
+    monkeypatch.setattr(forest, "RandomForestClassifier", None)
+    forests = forest.train(spark.createDataFrame(made, ddl), trees=30)
+    asked = [(1, "o1", "R", "i", "winter", 1, 2, True, 1, 1), (2, "new", "nowhere", None, "winter", 1, 20, False, 1, 1)]
+    asked_ddl = "request_id bigint, organization_id string, region string, industry string, season string, day_of_week int, hour int, " \
+        "has_external_access boolean, privileged_accounts_count int, known_vulnerabilities_count int"
+    got = {r.request_id: r for r in forest.ml_result(forests, spark.createDataFrame(asked, asked_ddl)).collect()}
+    assert {k: (r.ml_method, r.ml_target) for k, r in got.items()} == {1: ("a", "c"), 2: ("b", "d")}
+    assert all(0.5 < r.ml_confidence <= 1 and "600" in r.ml_rationale[0] for r in got.values())
